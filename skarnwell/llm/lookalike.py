@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
+from functools import lru_cache
 
 # Letters that draw the same shape as a Latin letter or mark, as "shape: look-alikes".
 LOOKALIKES = """
@@ -135,41 +136,28 @@ _MAYBE = {
 } | {chr(c) for c in range(0x1161, 0x1176)} | {chr(c) for c in range(0x11A8, 0x11C3)}
 
 
-def _ranges(codes: list[int]) -> str:
-    out, k = [], 0
-    while k < len(codes):
-        j = k
-        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
-            j += 1
-        out.append(f"\\U{codes[k]:08x}-\\U{codes[j]:08x}")
-        k = j + 1
-    return "".join(out)
-
-
-class _Unstable:
-    """Pattern of an unstable run with its boundary context; made on first use."""
-
-    pattern: re.Pattern | None = None
-
-    @classmethod
-    def get(cls) -> re.Pattern:
-        if cls.pattern is None:
-            codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not (0x20 <= c < 0x7F or c == 10) and ud.category(chr(c)) not in ("Cn", "Co") and not is_stable(chr(c))]
-            cls.pattern = re.compile(f"[^\n]?[{_ranges(codes)}]+")
-        return cls.pattern
+#: Quick check, for Java and Python: what lies outside printable ASCII, line feeds and these ranges (accented
+#: Latin and Vietnamese letters, quotes, dashes) may be unstable; each character inside them is stable.
+MAY_BE_UNSTABLE = "[^\\n\\x20-\\x7E\\u00A1-\\u00A7\\u00A9\\u00AB\\u00BF-\\u00CF\\u00D1-\\u012F\\u01A0\\u01A1\\u01AF\\u01B0\\u1EA0-\\u1EF9\\u2012-\\u2023\\u20AC]"
+_RUN = re.compile(MAY_BE_UNSTABLE + "+")
+_short = lru_cache(1 << 16)(canonical_segment)
 
 
 def canonical(text: str | None) -> str | None:
-    """The canonical form, made by isolating unstable runs (with the character before each, which an
-    accent in the run may join), normalizing only those, and splicing them into the unchanged rest.
+    """The canonical form, made by isolating runs that fail the quick check (with the character before
+    each, which an accent in the run may join), normalizing only those, and splicing them into the
+    unchanged rest.
 
     None stays None. Equal to canonical_segment(text) for every text.
     """
-    if text is None or text.isascii() and text.isprintable():
+    if text is None:
         return text
-    return _Unstable.get().sub(lambda m: canonical_segment(m.group()), text)
-
-
-#: Java pattern for texts that may hold an unstable character: anything but printable ASCII, line feeds
-#: and ranges that canonical() leaves as they are (accented Latin and Vietnamese letters, quotes, dashes).
-MAY_BE_UNSTABLE = "[^\\n\\x20-\\x7E\\u00A1-\\u00A7\\u00A9\\u00AB\\u00BF-\\u00CF\\u00D1-\\u012F\\u01A0\\u01A1\\u01AF\\u01B0\\u1EA0-\\u1EF9\\u2012-\\u2023\\u20AC]"
+    parts, done = [], 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        if start > done and text[start - 1] != "\n":
+            start -= 1
+        segment = text[start:end]
+        parts += (text[done:start], _short(segment) if end - start < 16 else canonical_segment(segment))
+        done = end
+    return "".join((*parts, text[done:])) if parts else text

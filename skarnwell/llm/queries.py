@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarnwell.llm import canonical, splitting
+from skarnwell.llm import canonical, contamination, near_duplicates, splitting
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -35,5 +35,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_lines(chunks, "chunk_id", "text", golden, "query_id", "question")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of different documents that say nearly the same."""
+    members, pairs = near_duplicates.similar_classes(_read(spark, d, "chunks"), "id", "doc_id", "text", threshold=0.8, min_words=60)
+    return near_duplicates.similar_pairs(members, pairs)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation items of which a document contains a passage."""
+    found = contamination.leaks(_read(spark, d, "documents"), "doc_id", "text", _read(spark, d, "eval_items"), "item_id", "text", min_words=13)
+    return found.select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p7_found)}
