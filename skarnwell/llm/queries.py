@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarnwell.llm import canonical, contamination, near_duplicates, splitting
+from skarnwell.llm import canonical, contamination, conversations, near_duplicates, neighbours, splitting, toxicity
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -35,17 +35,48 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_lines(chunks, "chunk_id", "text", golden, "query_id", "question")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of whole chats, in order."""
+    return conversations.rebuild(spark, f"{d}/messages.parquet")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of different documents that say nearly the same."""
     members, pairs = near_duplicates.similar_classes(_read(spark, d, "chunks"), "id", "doc_id", "text", threshold=0.8, min_words=60)
     return near_duplicates.similar_pairs(members, pairs)
 
 
+VECTORS = {"chunks": "id", "memories": "id", "answer_cache": "cache_key"}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of a table, each among the other's 10 most similar, at cosine 0.9 or more."""
+    found = None
+    for table, key in VECTORS.items():
+        # a pair that similar is ranked by pairs that similar, so less similar ones are never needed
+        similar = neighbours.most_similar(_read(spark, d, table), key, "embedding", dim=64, k=10, min_cosine=0.9)
+        part = neighbours.mutual(similar, 0.9).select(F.lit(table).alias("tab"), "key_a", "key_b")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation items of which a document contains a passage."""
     found = contamination.leaks(_read(spark, d, "documents"), "doc_id", "text", _read(spark, d, "eval_items"), "item_id", "text", min_words=13)
     return found.select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual language."""
+    found = toxicity.scored(_read(spark, d, "documents"), "doc_id", "text")
+    return found.filter(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with such language per source."""
+    docs = _read(spark, d, "documents")
+    return toxicity.rates(docs, "doc_id", "source", toxicity.scored(docs, "doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p7_found, p8_found, p8_rates)}

@@ -7,5 +7,23 @@ SELECT DISTINCT 'parents' AS tab, doc_id, CAST(ordinal AS BIGINT) AS ordinal FRO
 """
 
 
+P1_FOUND = r"""
+WITH distinct_rows AS (
+  SELECT chat_id, role, text, created_at, min(id) AS id FROM messages WHERE chat_id IS NOT NULL GROUP BY ALL
+), read AS (
+  SELECT *, CASE lower(trim(role)) WHEN 'user' THEN 1 WHEN 'human' THEN 1 WHEN 'assistant' THEN 2 WHEN 'bot' THEN 2 WHEN 'ai' THEN 2 WHEN 'system' THEN 3 END AS code,
+    regexp_matches(text, '[^\s\pZ\p{Cc}\p{Cf}]') AS visible
+  FROM distinct_rows
+), talk AS (
+  SELECT chat_id, code, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, id) AS n, count(*) OVER (PARTITION BY chat_id) AS of_all FROM read WHERE code IN (1, 2)
+), kept AS (
+  SELECT chat_id FROM read GROUP BY chat_id HAVING bool_and(coalesce(code IS NOT NULL AND visible AND created_at IS NOT NULL, false))
+  INTERSECT
+  SELECT chat_id FROM talk GROUP BY chat_id HAVING bool_and(code = 2 - n % 2) AND max(of_all) % 2 = 0
+)
+SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, id) AS pos, id FROM read WHERE chat_id IN (SELECT chat_id FROM kept)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND}
