@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarnwell.llm import canonical, contamination, conversations, near_duplicates, neighbours, splitting, toxicity
+from skarnwell.llm import canonical, contamination, conversations, near_duplicates, neighbours, packing, splitting, toxicity
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -60,6 +60,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
+CONTAINER_TOKENS = 2048
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of its parts."""
+    sizes = packing.token_sizes(_read(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "tokens", CONTAINER_TOKENS).withColumnRenamed("size", "tokens")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation items of which a document contains a passage."""
     found = contamination.leaks(_read(spark, d, "documents"), "doc_id", "text", _read(spark, d, "eval_items"), "item_id", "text", min_words=13)
@@ -79,4 +88,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_containers, p7_found, p8_found, p8_rates)}
