@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from skarnwell.plans import base, chats, corpus, relational, retrieval  # noqa: F401 - importing registers them
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLE)
