@@ -52,7 +52,7 @@ def plain_tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def front_matter(text: Column) -> Column:
@@ -82,7 +82,7 @@ def html_to_text(html: Column, strip_scripts: bool = False) -> Column:
     x = F.regexp_replace(x, rf"(?i)<br\s*/?>|</(?:{BLOCK_TAGS})\s*>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", "")
     x = unescape(x)
-    x = F.array_join(F.transform(F.split(x, "\n"), F.trim), "\n")
+    x = F.array_join(F.transform(F.split(x, "\n"), lambda x: F.trim(x)), "\n")
     return F.trim(F.regexp_replace(F.btrim(x, F.lit("\n ")), r"\n{3,}", "\n\n"))
 
 

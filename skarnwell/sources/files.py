@@ -227,10 +227,10 @@ def mbox_documents(files: DataFrame, prefix: str = "email") -> DataFrame:
 def obsidian_notes(notes: DataFrame, most: int = 12) -> DataFrame:
     """notes (path, text) with aliases, tags and links of a vault."""
     meta = T.front_matter(F.col("text"))
-    lists = lambda k: F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(F.try_element_at(meta, F.lit(k)), F.lit("")), r"[\[\]\"']", ""), ","), F.trim), lambda x: x != "")
+    lists = lambda k: F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(F.try_element_at(meta, F.lit(k)), F.lit("")), r"[\[\]\"']", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     body = T.without_front_matter(F.col("text"))
     tags = F.slice(F.array_distinct(F.concat(lists("tags"), F.regexp_extract_all(body, F.lit(r"(?U)(?:^|\s)#([\w/-]+)"), F.lit(1)))), 1, most)
-    links = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), F.trim))
+    links = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), lambda x: F.trim(x)))
     return notes.withColumns({"aliases": F.slice(lists("aliases"), 1, most), "tags": tags, "links": links})
 
 
