@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from skarnwell.durable import checkpointed
 
-SAMPLE_ROWS = 131_072  # the forest is fitted on at most this many vectors
+SAMPLE_ROWS = 65_536  # the forest is fitted on at most this many vectors
 LEAF_ROWS = 2048  # vectors meant to lie in one leaf
 CODE_ERROR = 0.01  # ten standard deviations of what one-byte codes change a cosine by
 
@@ -107,6 +107,13 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": pdf["key"].to_numpy()[good], "class": [xxhash.xxh3_128_digest(r) for r in raw], "vector": list(v)})
 
 
+def _block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The vectors of a batch, as unit vectors in one binary value: what is sent to the driver stays as small as it can be."""
+    for pdf in batches:
+        if len(pdf):
+            yield pd.DataFrame({"block": [unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64)).tobytes()]})
+
+
 def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for a in range(0, len(pdf), 2048):
@@ -163,9 +170,9 @@ def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 1
     members = ready.groupBy("key").agg(F.min("class").alias("class"))
     count = vectors.count()
     share = min(1.0, 0.9 * sample_rows / max(1, count))
-    sample = ready.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").limit(sample_rows).toPandas()
-    x = unit(np.stack(sample["vector"].to_numpy()).astype(np.float64)) if len(sample) else np.zeros((0, dim), np.float32)
-    x = np.unique(x, axis=0)
+    sample = ready.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").limit(sample_rows)
+    blocks = [r.block for r in sample.mapInPandas(_block, "block binary").collect()]
+    x = np.unique(np.frombuffer(b"".join(blocks), np.float32).reshape(-1, dim), axis=0)
     depth = 0
     while count >> depth > leaf_rows and len(x) >> depth > 8:
         depth += 1
