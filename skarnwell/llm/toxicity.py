@@ -98,6 +98,10 @@ class Scorer:
         bare = word.strip("*_")
         if bare in self.terms or bare in self.phrase_words:
             return bare, 1.0
+        if word.endswith(WILD) and not word.startswith(WILD):  # a masked last letter, not markup
+            hit = self.trie.within(word, 0) if len(bare) >= 3 else None
+            if hit:
+                return hit[0], 1.0
         letters = sum(ch.isalpha() for ch in bare)
         if letters < 1 or not 3 <= len(bare) <= 60:
             return None
@@ -116,7 +120,7 @@ class Scorer:
         if len(bare) >= 6 and bare.isalpha():
             hit = self.trie.within(bare, 1 if len(bare) < 10 else 2)
             if hit and hit[0][0] == bare[0] and len(hit[0]) >= 6 and self.terms[hit[0]][1] >= 1.0:
-                return hit[0], 0.6
+                return hit[0], 1.0 if len(bare) >= 7 else 0.6
         return None
 
     def resolve(self, word: str) -> tuple[str, float] | None:
