@@ -19,7 +19,6 @@ def page_documents(pages: DataFrame, url: str, html: str, strip_scripts: bool =
     return pages.select(T.web_path(F.col(url)).alias("path"), title.alias("title"), text.alias("text"), F.create_map(F.lit("url"), F.col(url)).alias("metadata"))
 
 
-@F.pandas_udf("array<string>")
 def _absolute(urls: pd.Series, links: pd.Series) -> pd.Series:
     out = []
     for u, found in zip(urls, links, strict=True):
@@ -31,7 +30,7 @@ def _absolute(urls: pd.Series, links: pd.Series) -> pd.Series:
 
 def link_table(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(url, link): links of pages to pages of the same host, absolute and without fragments."""
-    return pages.select(F.col(url).alias("url"), F.explode(_absolute(F.col(url), T.page_links(F.col(html)))).alias("link")).distinct()
+    return pages.select(F.col(url).alias("url"), F.explode(F.pandas_udf(_absolute, "array<string>")(F.col(url), T.page_links(F.col(html)))).alias("link")).distinct()
 
 
 def crawl(links: DataFrame, start: DataFrame, depth: int = 2, max_pages: int = 50) -> DataFrame:
