@@ -1,9 +1,9 @@
 """Rebuilding conversations from message rows, as a stateful stream.
 
-Messages are buffered in state keyed by chat and time segment, so that one chat with very many messages
-is spread over many keys. A segment is emitted, ordered and checked, when the watermark passes its end:
-until then late arrivals still find their place. Chats are judged and numbered from the segments' summaries.
-State holds a fixed-size record per message, never its text.
+Messages are buffered in state keyed by time segment and a hash bucket of their chat, so that one chat with very
+many messages is spread over many keys, and the cost of a state call is shared by the chats of a bucket. A segment
+is emitted, ordered and checked per chat, when the watermark passes its end: until then late arrivals still find their
+place. Chats are judged and numbered from the segments' summaries. State holds a fixed-size record per message, never its text.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ BAD, USER, ASSISTANT, SYSTEM = 0, 1, 2, 3
 ROLES = {"user": USER, "human": USER, "assistant": ASSISTANT, "bot": ASSISTANT, "ai": ASSISTANT, "system": SYSTEM}
 #: One character that draws something: no space, control, format or unassigned character, no filler or selector.
 VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}\p{Cn}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]"
-RECORD = np.dtype([("at", "<i8"), ("id", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("role", "<i8")])
-#: Python's nanosecond timestamps end in 2262. Event times are kept within these; order and segments use the exact time.
-FIRST_TIME, LAST_TIME, END_OF_INPUT = "1700-01-01 00:00:00", "2262-01-01 00:00:00", "2262-04-01 00:00:00"
+RECORD = np.dtype([("chat", "<i8"), ("at", "<i8"), ("id", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("role", "<i8")])
+#: Watermarks start at 1970, and Python's nanosecond timestamps end in 2262. Event times are kept within these; order and segments use the exact time.
+FIRST_TIME, LAST_TIME, END_OF_INPUT = "1970-01-02 00:00:00", "2262-01-01 00:00:00", "2262-04-01 00:00:00"
 LAST_TIME_MS = 9_214_646_400_000
+SPAN_SECONDS = 86_400
+MESSAGES_A_BUCKET = 500_000  # of the whole input; spread over its segments
 SEGMENT_SCHEMA = "chat_id long, segment long, seq long, id long, rows long, first_role int, last_role int, whole boolean"
 
 
@@ -40,33 +42,56 @@ def role_code(role: Column, text: Column) -> Column:
     return F.when(text.rlike(VISIBLE), code).otherwise(F.lit(BAD)).cast("long")
 
 
-def _close(buffer: bytes, chat: int, segment: int) -> pd.DataFrame:
-    """The messages of a segment in order, with its summary on the first."""
+def _close(buffer: bytes, segment: int) -> pd.DataFrame:
+    """The messages of a segment in order, chat by chat, with a chat's summary on its first."""
     r = np.frombuffer(buffer, RECORD)
-    r = r[np.lexsort((r["id"], r["at"]))]
-    talk = r["role"][(r["role"] == USER) | (r["role"] == ASSISTANT)]
-    whole = bool((r["role"] != BAD).all() and (talk[1:] != talk[:-1]).all())
+    r = r[np.lexsort((r["id"], r["at"], r["chat"]))]
     n = len(r)
-    out = pd.DataFrame({"chat_id": np.full(n, chat), "segment": np.full(n, segment), "seq": np.arange(1, n + 1), "id": r["id"]})
-    for c, v in (("rows", n), ("first_role", int(talk[0]) if len(talk) else None), ("last_role", int(talk[-1]) if len(talk) else None), ("whole", whole)):
-        out[c] = pd.Series([v] + [None] * (n - 1), dtype=object)
-    return out
+    new = np.ones(n, bool)
+    new[1:] = r["chat"][1:] != r["chat"][:-1]
+    start = np.flatnonzero(new)
+    of = np.cumsum(new) - 1  # which chat each message is of
+    rows = np.diff(np.append(start, n))
+    talk = np.flatnonzero((r["role"] == USER) | (r["role"] == ASSISTANT))
+    role = r["role"][talk]
+    twice = np.zeros(len(start), bool)
+    same = (of[talk][1:] == of[talk][:-1]) & (role[1:] == role[:-1])
+    twice[of[talk][1:][same]] = True
+    bad = np.zeros(len(start), bool)
+    bad[of[r["role"] == BAD]] = True
+    first, last = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    first[of[talk][::-1]] = role[::-1]
+    last[of[talk]] = role
+    out = pd.DataFrame({"chat_id": r["chat"], "segment": np.full(n, segment), "seq": np.arange(n) - start[of] + 1, "id": r["id"]})
+    for c, v in (("rows", rows), ("first_role", first), ("last_role", last)):
+        column = pd.array(np.zeros(n, np.int64), dtype="Int64")
+        column[:] = pd.NA
+        column[start] = v
+        if c != "rows":
+            column[start[v == 0]] = pd.NA
+        out[c] = column
+    whole = pd.array(np.zeros(n, bool), dtype="boolean")
+    whole[:] = pd.NA
+    whole[start] = ~twice & ~bad
+    return out.assign(whole=whole)
 
 
 def _distinct(r: np.ndarray) -> np.ndarray:
-    """Of records equal in time, role and text, the one with the smallest id."""
-    r = r[np.lexsort((r["id"], r["h2"], r["h1"], r["at"]))]
+    """Of records equal in chat, time, role and text, the one with the smallest id."""
+    r = r[np.lexsort((r["id"], r["h2"], r["h1"], r["at"], r["chat"]))]
     new = np.ones(len(r), bool)
-    new[1:] = (r["at"][1:] != r["at"][:-1]) | (r["h1"][1:] != r["h1"][:-1]) | (r["h2"][1:] != r["h2"][:-1])
+    new[1:] = np.logical_or.reduce([r[c][1:] != r[c][:-1] for c in ("chat", "at", "h1", "h2")])
     return r[new]
 
 
 def _buffer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, span: int) -> Iterator[pd.DataFrame]:
-    chat, segment = key
+    segment = key[0]
     if state.hasTimedOut:
         (buffer,) = state.get
         state.remove()
-        yield _close(buffer, chat, segment)
+        yield _close(buffer, segment)
+        return
+    if segment is None or segment != segment:  # the end-of-input mark
         return
     held = [np.frombuffer(state.get[0], RECORD)] if state.exists else []
     for pdf in batches:
@@ -74,20 +99,19 @@ def _buffer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, span
         for c in RECORD.names:
             part[c] = pdf[c].to_numpy()
         held.append(part)
-    if chat is None or chat != chat:  # the end-of-input mark
-        return
     r = _distinct(np.concatenate(held))
     state.update((r.tobytes(),))
     end = min((int(segment) + 1) * span * 1000, LAST_TIME_MS)
     state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
 
 
-def segments(messages: DataFrame, late_by: str = "7 days", span_seconds: int = 86_400) -> DataFrame:
+def segments(messages: DataFrame, late_by: str = "7 days", span_seconds: int = SPAN_SECONDS, buckets: int = 1) -> DataFrame:
     """Stream of closed segments of a stream of messages (chat_id, id, role, text, created_at), as SEGMENT_SCHEMA.
 
     A message may arrive up to `late_by` after a message with a later created_at that came in an earlier micro-batch;
     what comes later still is dropped by the watermark, as in any windowed stream. Messages without created_at
     break their chat and are passed on at once as a segment of their own. Rows without chat_id only move the watermark.
+    `buckets` keys share a segment; choose it so that a bucket's messages of one segment fit a task.
     """
     m = messages.select(
         F.col("chat_id").cast("long").alias("chat_id"), F.col("id").cast("long").alias("id"), F.col("created_at").cast("timestamp").alias("created_at"),
@@ -97,7 +121,7 @@ def segments(messages: DataFrame, late_by: str = "7 days", span_seconds: int = 8
     m = m.withColumn("at", micros).withColumn("segment", F.when(F.col("chat_id").isNotNull(), F.floor(micros / F.lit(span_seconds * 1_000_000)).cast("long")))
     event_time = F.when(F.col("chat_id").isNull(), F.col("created_at")).otherwise(F.least(F.greatest("created_at", F.lit(FIRST_TIME).cast("timestamp")), F.lit(LAST_TIME).cast("timestamp")))
     timed = m.filter("created_at is not null and (chat_id is null or id is not null)").withColumn("created_at", event_time).withWatermark("created_at", late_by)
-    closed = timed.groupBy("chat_id", "segment").applyInPandasWithState(lambda k, b, s: _buffer(k, b, s, span_seconds), SEGMENT_SCHEMA, "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
+    closed = timed.withColumn("chat", F.col("chat_id")).withColumn("bucket", F.when(F.col("chat_id").isNotNull(), F.pmod(F.xxhash64("chat_id"), F.lit(buckets)))).groupBy("segment", "bucket").applyInPandasWithState(lambda k, b, s: _buffer(k, b, s, span_seconds), SEGMENT_SCHEMA, "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
     nothing = F.lit(None)
     broken = m.filter("chat_id is not null and (created_at is null or id is null)").select("chat_id", nothing.cast("long").alias("segment"), F.lit(1).cast("long").alias("seq"), "id", F.lit(1).cast("long").alias("rows"), nothing.cast("int").alias("first_role"), nothing.cast("int").alias("last_role"), F.lit(False).alias("whole"))
     return closed.unionByName(broken)
@@ -119,7 +143,7 @@ def assemble(closed: DataFrame) -> DataFrame:
     return closed.join(starts, ["chat_id", "segment"]).select("chat_id", (F.col("skip") + F.col("seq")).alias("pos"), "id")
 
 
-def rebuild(spark: SparkSession, path: str, late_by: str = "7 days", span_seconds: int = 86_400) -> DataFrame:
+def rebuild(spark: SparkSession, path: str, late_by: str = "7 days", span_seconds: int = SPAN_SECONDS) -> DataFrame:
     """(chat_id, pos, id) of the whole chats in the message files at `path`: streams what there is, to its end.
 
     All files form one micro-batch, so nothing in them is late. A mark with a far time ends the input: it moves the watermark past
@@ -133,6 +157,7 @@ def rebuild(spark: SparkSession, path: str, late_by: str = "7 days", span_second
     pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a single file can be streamed too
     messages = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern).select(*names)
     ended = messages.filter("chat_id is not null").unionByName(spark.readStream.schema(columns).parquet(f"{folder}/end"))
-    run = segments(ended, late_by, span_seconds).writeStream.format("parquet").option("path", f"{folder}/closed").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    buckets = 1 + spark.read.parquet(path).count() // MESSAGES_A_BUCKET  # from the files' footers
+    run = segments(ended, late_by, span_seconds, buckets).writeStream.format("parquet").option("path", f"{folder}/closed").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return assemble(spark.read.schema(SEGMENT_SCHEMA).parquet(f"{folder}/closed"))
