@@ -22,6 +22,7 @@ from skarnwell.durable import checkpointed
 SAMPLE_ROWS = 65_536  # the forest is fitted on at most this many vectors
 LEAF_ROWS = 2048  # vectors meant to lie in one leaf
 CODE_ERROR = 0.01  # ten standard deviations of what one-byte codes change a cosine by
+WIDE = 64  # of more candidates than this that codes can't tell apart, the stored vectors decide in the leaf
 
 
 @dataclass
@@ -114,44 +115,57 @@ def _block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": [unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64)).tobytes()]})
 
 
-def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: int) -> Iterator[pd.DataFrame]:
+def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: int, only: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """The visits of every vector with its code; with only, the visits to those leaves with the stored vector as code."""
     for pdf in batches:
         for a in range(0, len(pdf), 2048):
             part = pdf.iloc[a : a + 2048]
-            x = unit(np.stack(part["vector"].to_numpy()).astype(np.float64))
+            v = np.stack(part["vector"].to_numpy()).astype(np.float32)
+            x = unit(v.astype(np.float64))
             leaf, own = search_leaves(forest, x, probes)
             rows = np.repeat(np.arange(len(x)), leaf.shape[1])
-            code = np.array([c.tobytes() for c in codes(x)], dtype=object)
-            yield pd.DataFrame({"leaf": leaf.ravel(), "own": own.ravel(), "class": part["class"].to_numpy()[rows], "code": code[rows]})
+            code = np.array([c.tobytes() for c in (codes(x) if only is None else v)], dtype=object)
+            keep = slice(None) if only is None else np.isin(leaf.ravel(), only)
+            yield pd.DataFrame({"leaf": leaf.ravel()[keep], "own": own.ravel()[keep], "class": part["class"].to_numpy()[rows[keep]], "code": code[rows[keep]]})
 
 
-def _candidates(pdf: pd.DataFrame, most: int, least: float | None) -> pd.DataFrame:
-    """Pairs (a, b) of one leaf: for each vector that visits it, the best that lie in it."""
+def _candidates(pdf: pd.DataFrame, k: int, least: float | None, exact: bool = False) -> pd.DataFrame:
+    """Pairs (a, b) of one leaf: for each vector that visits it, the k best that lie in it and all that may be as good.
+
+    A vector with more than WIDE of them gets one row (leaf, a, null) instead, but for exact, where code is the stored vector.
+    """
     own = pdf["own"].to_numpy()
     names = pdf["class"].to_numpy()
-    c = np.frombuffer(b"".join(pdf["code"]), dtype=np.int8).reshape(len(pdf), -1).astype(np.float32)
+    c = np.frombuffer(b"".join(pdf["code"]), dtype=np.float32 if exact else np.int8).reshape(len(pdf), -1).astype(np.float64 if exact else np.float32)
     c /= np.linalg.norm(c, axis=1, keepdims=True)
+    error = 1e-12 if exact else CODE_ERROR
     at = np.flatnonzero(own)
-    left, right = [], []
+    left, right, wide = [], [], []
     for a in range(0, len(c) if len(at) else 0, 1024):
         s = c[a : a + 1024] @ c[at].T
         rows = np.arange(a, a + len(s))
-        k = np.searchsorted(at, rows)
-        itself = (k < len(at)) & (at[np.minimum(k, len(at) - 1)] == rows)
-        s[np.flatnonzero(itself), k[itself]] = -2
-        bar = np.full(len(s), -1.5 if least is None else least - CODE_ERROR, np.float32)
-        if s.shape[1] > most:
-            full = np.flatnonzero((s >= bar[:, None]).sum(1) > most)
+        n = np.searchsorted(at, rows)
+        itself = (n < len(at)) & (at[np.minimum(n, len(at) - 1)] == rows)
+        s[np.flatnonzero(itself), n[itself]] = -2
+        bar = np.full(len(s), -1.5 if least is None else least - error, s.dtype)
+        if s.shape[1] > k:
+            full = np.flatnonzero((s >= bar[:, None]).sum(1) > k)
             if len(full):
-                bar[full] = np.partition(s[full], -most, axis=1)[:, -most]
-        i, j = np.nonzero(s >= bar[:, None])
+                bar[full] = np.maximum(bar[full], np.partition(s[full], -k, axis=1)[:, -k] - error)
+        good = s >= bar[:, None]
+        many = good.sum(1) > (s.shape[1] if exact else WIDE)
+        wide.append(rows[many])
+        good[many] = False
+        i, j = np.nonzero(good)
         left.append(rows[i])
         right.append(at[j])
     if not left:
-        return pd.DataFrame({"a": [], "b": []})
+        return pd.DataFrame({"leaf": [], "a": [], "b": []})
     a, b = names[np.concatenate(left)], names[np.concatenate(right)]
     pairs = {(x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True) if x != y}
-    return pd.DataFrame(sorted(pairs), columns=["a", "b"])
+    leaf = int(pdf["leaf"].iloc[0])
+    found = [(None, x, y) for x, y in sorted(pairs)] + [(leaf, x, None) for x in names[np.concatenate(wide)]]
+    return pd.DataFrame({"leaf": pd.array([r[0] for r in found], dtype="Int64"), "a": [r[1] for r in found], "b": [r[2] for r in found]})
 
 
 def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 10, min_cosine: float | None = None, trees: int = 3, probes: int = 12, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -179,8 +193,15 @@ def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 1
     forest = [fit_tree(x, depth, seed) for seed in range(trees if depth else 1)]
     classes = ready.groupBy("class").agg(F.first("vector").alias("vector"))
     nodes = classes.mapInPandas(lambda it: _route(it, forest, probes), "leaf long, own boolean, class binary, code binary")
-    pairs = nodes.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k + 6, min_cosine), "a binary, b binary").distinct()
-    pairs = checkpointed(pairs)
+    found = checkpointed(nodes.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine), "leaf long, a binary, b binary").distinct())
+    pairs = found.filter("b is not null").select("a", "b")
+    dense = found.filter("b is null").select("leaf", F.col("a").alias("class"), F.lit(True).alias("asks"))
+    only = np.array([r.leaf for r in dense.select("leaf").distinct().collect()], np.int64)
+    if len(only):
+        stored = classes.mapInPandas(lambda it: _route(it, forest, probes, only), "leaf long, own boolean, class binary, code binary")
+        stored = stored.join(dense, ["leaf", "class"], "left").filter("own or asks").drop("asks")
+        more = stored.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine, exact=True), "leaf long, a binary, b binary")
+        pairs = checkpointed(pairs.unionByName(more.select("a", "b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     exact = checkpointed(ready.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("vector").alias("vector")))
     both = pairs.join(exact.toDF("a", "va"), "a").join(exact.toDF("b", "vb"), "b")

@@ -62,3 +62,14 @@ def test_leaves_hold_every_vector_once_per_tree():
     forest = [N.fit_tree(x, 4, s) for s in range(3)]
     leaf, own = N.search_leaves(forest, x, 12)
     assert (own.sum(1) == 3).all() and all(len(set(r)) == 12 for r in leaf)
+
+
+def test_ten_best_in_a_tight_cluster(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal(64) + 0.015 * rng.standard_normal((600, 64))).astype(np.float32)
+    keys = [f"k{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x)], "key string, v array<float>")
+    got = {}
+    for r in N.most_similar(df, "key", "v", 64, k=10).collect():
+        got.setdefault(r.key, set()).add(r.other)
+    assert got == brute(keys, x.astype(np.float64), 10, -1)
