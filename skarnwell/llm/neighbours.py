@@ -8,6 +8,7 @@ are then ranked by the exact cosine of the stored vectors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ from skarnwell.durable import checkpointed
 SAMPLE_ROWS = 65_536  # the forest is fitted on at most this many vectors
 LEAF_ROWS = 2048  # vectors meant to lie in one leaf
 CODE_ERROR = 0.01  # ten standard deviations of what one-byte codes change a cosine by
+PROBES = 12  # leaves that a vector visits at least
+MISSED = 0.01  # share of the neighbours within the sample that may lie in leaves not visited
 WIDE = 64  # of more candidates than this that codes can't tell apart, the stored vectors decide in the leaf
 
 
@@ -87,6 +90,53 @@ def search_leaves(forest: list[Tree], x: np.ndarray, probes: int) -> tuple[np.nd
     return np.take_along_axis(leaf, k, 1), np.take_along_axis(own, k, 1)
 
 
+def probes_needed(forest: list[Tree], x: np.ndarray, k: int, least: float | None, per_node: int = 8) -> np.ndarray:
+    """How many leaves vectors must visit to meet their k nearest in x, by their node on level 8 (or the last) of the first tree.
+
+    Some vectors of every node are compared with all of x. A node gets what its own vectors need and at least what
+    all need together, so that a dense region gets more visits than the rest.
+    """
+    depth = forest[0].depth
+    level = min(depth, 8)
+    home = np.stack([_leaf(tree, x) for tree in forest])
+    node = home[0] >> (depth - level)
+    leaves = len(forest) << depth
+    rng = np.random.default_rng(0)
+    shuffled = rng.permutation(len(x))
+    order = shuffled[np.argsort(node[shuffled], kind="stable")]
+    start = np.searchsorted(node[order], np.arange(1 << level, 2 << level))
+    end = np.append(start[1:], len(order))
+    asked = np.concatenate([order[a : min(b, a + per_node)] for a, b in zip(start, end, strict=True)])
+    ranks, of = [], []
+    step = max(1, min(64, (1 << 19) // (leaves * x.shape[1])))
+    for i in range(0, len(asked), step):
+        q = asked[i : i + step]
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -2
+        n = min(k, len(x) - 1)
+        best = np.argpartition(s, -n, axis=1)[:, -n:]
+        leaf, _ = search_leaves(forest, x[q], leaves)
+        place = np.empty((len(q), leaves), np.int64)
+        np.put_along_axis(place, ((leaf >> 40) << depth) + (leaf & ((1 << 40) - 1)) - (1 << depth), np.arange(leaves)[None, :], 1)
+        first = np.min([np.take_along_axis(place, (t << depth) + home[t][best] - (1 << depth), 1) for t in range(len(forest))], axis=0)
+        near = np.take_along_axis(s, best, 1) >= (-1.5 if least is None else least)
+        ranks.append(first[near] + 1)
+        of.append(np.repeat(node[q], near.sum(1)) - (1 << level))
+    ranks, of = np.concatenate(ranks), np.concatenate(of)
+    most = np.quantile(ranks, 1 - MISSED, method="higher") if len(ranks) else 0
+    need = np.full(1 << level, max(PROBES, most), np.int64)
+    for g in np.unique(of):
+        need[g] = max(need[g], np.quantile(ranks[of == g], 1 - MISSED, method="higher"))
+    return np.minimum(leaves, PROBES << np.ceil(np.log2(need / PROBES)).astype(np.int64))
+
+
+def _leaf(tree: Tree, x: np.ndarray) -> np.ndarray:
+    node = np.ones(len(x), np.int64)
+    for _ in range(tree.depth):
+        node = 2 * node + (np.einsum("rd,rd->r", tree.planes[node], x) > tree.cuts[node])
+    return node
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
@@ -115,18 +165,29 @@ def _block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": [unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64)).tobytes()]})
 
 
-def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: int, only: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
-    """The visits of every vector with its code; with only, the visits to those leaves with the stored vector as code."""
+def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: np.ndarray, only: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """The visits of every vector with its code; with only, the visits to those leaves with the stored vector as code.
+
+    probes: the number of visits by the vector's node in the first tree, as of probes_needed.
+    """
+    down = forest[0].depth - int(len(probes)).bit_length() + 1
     for pdf in batches:
-        for a in range(0, len(pdf), 2048):
-            part = pdf.iloc[a : a + 2048]
-            v = np.stack(part["vector"].to_numpy()).astype(np.float32)
+        for b in range(0, len(pdf), 2048):
+            batch = pdf.iloc[b : b + 2048]
+            v = np.stack(batch["vector"].to_numpy()).astype(np.float32)
             x = unit(v.astype(np.float64))
-            leaf, own = search_leaves(forest, x, probes)
-            rows = np.repeat(np.arange(len(x)), leaf.shape[1])
+            names = batch["class"].to_numpy()
             code = np.array([c.tobytes() for c in (codes(x) if only is None else v)], dtype=object)
-            keep = slice(None) if only is None else np.isin(leaf.ravel(), only)
-            yield pd.DataFrame({"leaf": leaf.ravel()[keep], "own": own.ravel()[keep], "class": part["class"].to_numpy()[rows[keep]], "code": code[rows[keep]]})
+            wanted = probes[(_leaf(forest[0], x) >> down) - len(probes)]
+            for most in np.unique(wanted):
+                alike = np.flatnonzero(wanted == most)
+                step = max(16, 2048 * PROBES // int(most))
+                for a in range(0, len(alike), step):
+                    part = alike[a : a + step]
+                    leaf, own = search_leaves(forest, x[part], int(most))
+                    rows = np.repeat(part, leaf.shape[1])
+                    keep = slice(None) if only is None else np.isin(leaf.ravel(), only)
+                    yield pd.DataFrame({"leaf": leaf.ravel()[keep], "own": own.ravel()[keep], "class": names[rows[keep]], "code": code[rows[keep]]})
 
 
 def _candidates(pdf: pd.DataFrame, k: int, least: float | None, exact: bool = False) -> pd.DataFrame:
@@ -168,15 +229,15 @@ def _candidates(pdf: pd.DataFrame, k: int, least: float | None, exact: bool = Fa
     return pd.DataFrame({"leaf": pd.array([r[0] for r in found], dtype="Int64"), "a": [r[1] for r in found], "b": [r[2] for r in found]})
 
 
-def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 10, min_cosine: float | None = None, trees: int = 3, probes: int = 12, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 10, min_cosine: float | None = None, trees: int = 3, probes: int | None = None, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(key, other, cosine, rank): the k most similar vectors of every vector, rank 1 first; of equally similar ones
     the smaller key (as string) first. With min_cosine, of those at least that similar.
 
     Only vectors of exactly `dim` finite numbers that are not all zero take part, under a key that is not
     null; a repeated row is one row (of different vectors under one key the one with the smallest hash counts).
     Equal directions form a class that is indexed once, so that copies cannot fill a leaf; every copy gets its rows.
-    Approximate: raise trees and probes for recall. Neighbours above 0.9 are found nearly always with the defaults;
-    of vectors without near neighbours the best few are found only by visiting a large part of the leaves.
+    Approximate: vectors visit as many leaves as their region of the sample needs to meet 0.99 of its neighbours there,
+    12 at least, or `probes` if given. Where neighbours are not near, that is a large part of the leaves.
     """
     rows = vectors.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("vector")).filter(f"key is not null and size(vector) = {int(dim)} and not exists(vector, x -> x is null)")
     ready = rows.mapInPandas(_prepare, "key string, class binary, vector array<float>")
@@ -191,14 +252,17 @@ def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 1
     while count >> depth > leaf_rows and len(x) >> depth > 8:
         depth += 1
     forest = [fit_tree(x, depth, seed) for seed in range(trees if depth else 1)]
+    # of the k nearest of all, about this many are in the sample
+    near = max(1, math.ceil(k * len(x) / max(1, count)))
+    visits = np.array([probes], np.int64) if probes else probes_needed(forest, x, min(k, near), min_cosine) if depth else np.array([PROBES], np.int64)
     classes = ready.groupBy("class").agg(F.first("vector").alias("vector"))
-    nodes = classes.mapInPandas(lambda it: _route(it, forest, probes), "leaf long, own boolean, class binary, code binary")
+    nodes = classes.mapInPandas(lambda it: _route(it, forest, visits), "leaf long, own boolean, class binary, code binary")
     found = checkpointed(nodes.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine), "leaf long, a binary, b binary").distinct())
     pairs = found.filter("b is not null").select("a", "b")
     dense = found.filter("b is null").select("leaf", F.col("a").alias("class"), F.lit(True).alias("asks"))
     only = np.array([r.leaf for r in dense.select("leaf").distinct().collect()], np.int64)
     if len(only):
-        stored = classes.mapInPandas(lambda it: _route(it, forest, probes, only), "leaf long, own boolean, class binary, code binary")
+        stored = classes.mapInPandas(lambda it: _route(it, forest, visits, only), "leaf long, own boolean, class binary, code binary")
         stored = stored.join(dense, ["leaf", "class"], "left").filter("own or asks").drop("asks")
         more = stored.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine, exact=True), "leaf long, a binary, b binary")
         pairs = checkpointed(pairs.unionByName(more.select("a", "b")).distinct())

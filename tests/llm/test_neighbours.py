@@ -73,3 +73,17 @@ def test_ten_best_in_a_tight_cluster(spark):
     for r in N.most_similar(df, "key", "v", 64, k=10).collect():
         got.setdefault(r.key, set()).add(r.other)
     assert got == brute(keys, x.astype(np.float64), 10, -1)
+
+
+def test_recall_in_a_cluster_with_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(6)
+    hot = rng.standard_normal(64) + 0.3 * rng.standard_normal((1500, 64))
+    x = np.concatenate([hot, rng.standard_normal((3000, 64))]).astype(np.float32)
+    keys = [f"k{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x)], "key string, v array<float>")
+    got = {}
+    for r in N.most_similar(df, "key", "v", 64, k=10, min_cosine=0.9, leaf_rows=32).collect():
+        got.setdefault(r.key, set()).add(r.other)
+    want = {k: v for k, v in brute(keys, x.astype(np.float64), 10, 0.9).items() if v}
+    hit, total = sum(len(v & got.get(k, set())) for k, v in want.items()), sum(map(len, want.values()))
+    assert len(want) > 1400 and hit >= 0.98 * total
