@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from skarnwell.durable import checkpointed
 
 WORD = re.compile(r"\w+")
-COORDINATES, SKETCH_WORDS = 32, 8  # 16-bit minwise values for the trees; 64-bit words of one-bit minwise sketch
-TREES, LEAF, DEPTH = 8, 48, 16
+COORDINATES, SKETCH_WORDS = 32, 8  # 8-bit minwise values for a tree; 64-bit words of one-bit minwise sketch
+TREES, LEAF = 8, 48
+DEPTH = 5  # levels of a tree; what is still together is compared by sketch, since deeper nodes lose similar classes
 TOP_SHARE, TOP_ROWS = 0.02, 20_000  # a coordinate leaves at most about this share of the classes together; rows of a node that one task takes
 MAX_COPIES = 1000
 
@@ -69,13 +70,13 @@ class Hasher:
 
 
 def signature(tokens: np.ndarray) -> tuple[bytes, bytes]:
-    """(sketch, coordinates) of a set of hashes."""
+    """(sketch, coordinates) of a set of hashes. Each tree has coordinates of its own; they share their values with the sketch."""
     low = np.full(len(_SEEDS), np.uint64(0xFFFFFFFFFFFFFFFF))
     with np.errstate(over="ignore"):
         for k in range(0, len(tokens), 256):  # blocks bound the memory for very long texts
             np.minimum(low, mix_light(tokens[k : k + 256, None] ^ _SEEDS[None, :]).min(0), out=low)
     bits = np.packbits((low[COORDINATES:] >> np.uint64(17) & np.uint64(1)).astype(np.uint8)).tobytes()
-    return bits, (low[:COORDINATES] >> np.uint64(13)).astype(np.uint16).tobytes()
+    return bits, (low >> np.uint64(13)).astype(np.uint8).tobytes()
 
 
 def mix_light(x: np.ndarray) -> np.ndarray:
@@ -86,14 +87,15 @@ def mix_light(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _sketch(batches: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.DataFrame]:
+def _sketch(batches: Iterator[pd.DataFrame], min_words: int, trees: int) -> Iterator[pd.DataFrame]:
     hasher = Hasher()
     for pdf in batches:
         out = {c: [] for c in ("id", "doc", "n", "bag", "sketch", "coords")}
         for key, doc, text in zip(pdf["id"], pdf["doc"], pdf["text"], strict=True):
             t = hasher.tokens(text)
             if len(t) >= min_words:
-                for c, v in zip(out, (key, doc, len(t), xxhash.xxh3_128_digest(t.tobytes()), *signature(t)), strict=True):
+                sketch, coords = signature(t)
+                for c, v in zip(out, (key, doc, len(t), xxhash.xxh3_128_digest(t.tobytes()), sketch, coords[: COORDINATES * trees]), strict=True):
                     out[c].append(v)
         yield pd.DataFrame(out)
 
@@ -129,13 +131,16 @@ def _branch(batches: Iterator[pd.DataFrame], trees: int, levels: int) -> Iterato
     for pdf in batches:
         if not len(pdf):
             continue
-        coords = np.frombuffer(b"".join(pdf["coords"]), dtype=np.uint16).reshape(len(pdf), -1)
+        coords = np.frombuffer(b"".join(pdf["coords"]), dtype=np.uint8).reshape(len(pdf), -1)
         for tree in range(trees):
             rows, nodes = np.arange(len(pdf)), _u64(np.full(len(pdf), tree), 7)
+            at = tree * COORDINATES % coords.shape[1]
+            own = coords[:, at : at + COORDINATES]
             for _ in range(levels):
-                k, nodes = children(nodes, coords[rows])
+                k, nodes = children(nodes, own[rows])
                 rows = rows[k]
             out = pdf.iloc[rows].copy()
+            out["coords"] = np.array([r.tobytes() for r in own], dtype=object)[rows]
             out.insert(0, "node", nodes.view(np.int64))
             yield out
 
@@ -147,11 +152,12 @@ class Node:
         self.node = pdf["node"].to_numpy().view(np.uint64)
         self.n = pdf["n"].to_numpy()
         self.doc = pdf["doc"].to_numpy()
-        self.coords = np.frombuffer(b"".join(pdf["coords"]), dtype=np.uint16).reshape(len(pdf), -1)
+        self.coords = np.frombuffer(b"".join(pdf["coords"]), dtype=np.uint8).reshape(len(pdf), -1)
         self.sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(len(pdf), -1)
         self.most = (1 - agree) * 64 * SKETCH_WORDS
         self.ratio = ratio
         self.found: list[np.ndarray] = []
+        self.held = 0
 
     def keep(self, a: np.ndarray, b: np.ndarray) -> None:
         """Of the pairs of rows a, b, those that may be similar."""
@@ -160,9 +166,17 @@ class Node:
         a, b = a[k], b[k]
         k = np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(1) <= self.most
         if k.any():
-            self.found.append(np.stack([a[k], b[k]]))
+            a, b = a[k].astype(np.int64), b[k].astype(np.int64)
+            self.found.append(np.minimum(a, b) << 32 | np.maximum(a, b))
+            self.held += len(a)
 
-    def exhaust(self, node: np.ndarray, order: np.ndarray) -> None:
+    def taken(self) -> np.ndarray:
+        """The pairs found since the last call, distinct."""
+        pairs = np.unique(np.concatenate(self.found)) if self.found else np.zeros(0, np.int64)
+        self.found, self.held = [], 0
+        return np.stack([pairs >> 32, pairs & 0xFFFFFFFF])
+
+    def exhaust(self, node: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
         """All pairs within runs of equal nodes; runs are short, so shifts of the whole array do it."""
         shift = 1
         while True:
@@ -171,32 +185,34 @@ class Node:
                 return
             for k in range(0, len(same), 1 << 18):
                 self.keep(order[same[k : k + (1 << 18)]], order[same[k : k + (1 << 18)] + shift])
+                if self.held > 1 << 20:
+                    yield self.taken()
             shift += 1
 
-    def search(self) -> np.ndarray:
-        """Pairs of rows, distinct."""
+    def search(self, levels: int = DEPTH) -> Iterator[np.ndarray]:
+        """Pairs of rows, in blocks that are distinct each."""
         node, order = self.node, np.arange(len(self.node))
-        for depth in range(DEPTH + 1):
+        for depth in range(levels + 1):
             s = np.argsort(node, kind="stable")
             node, order = node[s], order[s]
             edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
             size = np.repeat(np.diff(edge), np.diff(edge))
-            small = (size <= LEAF) if depth < DEPTH else size > 0
-            self.exhaust(node[small & (size > 1)], order[small & (size > 1)])
+            small = (size <= LEAF) if depth < levels else size > 0
+            yield from self.exhaust(node[small & (size > 1)], order[small & (size > 1)])
             node, order = node[~small], order[~small]
             if not len(node):
                 break
             k, node = children(node, self.coords[order])
             order = order[k]
-        return np.unique(np.sort(np.concatenate(self.found, axis=1), axis=0), axis=1) if self.found else np.zeros((2, 0), np.int64)
+        yield self.taken()
 
 
-def _compare(batches: Iterator[pd.DataFrame], agree: float, ratio: float) -> Iterator[pd.DataFrame]:
-    def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = Node(pdf, agree, ratio).search()
+def _compare(batches: Iterator[pd.DataFrame], agree: float, ratio: float, levels: int = DEPTH) -> Iterator[pd.DataFrame]:
+    def flush(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         bag = pdf["bag"].to_numpy(dtype=object)
-        pairs = {(x, y) if x < y else (y, x) for x, y in zip(bag[a], bag[b], strict=True) if x != y}
-        return pd.DataFrame(sorted(pairs), columns=["a", "b"])
+        for a, b in Node(pdf, agree, ratio).search(levels):
+            pairs = {(x, y) if x < y else (y, x) for x, y in zip(bag[a], bag[b], strict=True) if x != y}
+            yield pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
     held: list[pd.DataFrame] = []
     for pdf in batches:
@@ -206,11 +222,11 @@ def _compare(batches: Iterator[pd.DataFrame], agree: float, ratio: float) -> Ite
         cut = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
         held.append(pdf.iloc[:cut])
         if cut and sum(map(len, held)):
-            yield flush(pd.concat(held))
+            yield from flush(pd.concat(held))
             held = []
         held.append(pdf.iloc[cut:])
     if held and sum(map(len, held)):
-        yield flush(pd.concat(held))
+        yield from flush(pd.concat(held))
 
 
 def similar_classes(texts: DataFrame, key: str, group: str, text: str, threshold: float = 0.8, min_words: int = 60, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
@@ -221,10 +237,11 @@ def similar_classes(texts: DataFrame, key: str, group: str, text: str, threshold
     the words of the longer text, where that is at least the threshold. Classes of which all texts belong to
     one and the same group are not compared with each other. Keys and groups must be integers; rows with a null key,
     group or text take no part. Every pair is right; each similar pair is found with a probability that grows
-    with `trees` (at least 0.98 with 8 at similarity 0.8 and equal lengths, the hardest case).
+    with `trees`, each of which has coordinates of its own up to 17 (0.98 with 8 at similarity 0.8 and equal lengths, the
+    hardest case, also where many texts are that similar).
     """
     rows = texts.select(F.col(key).cast("long").alias("id"), F.col(group).cast("long").alias("doc"), F.col(text).alias("text")).filter(f"id is not null and doc is not null and length(text) >= {2 * min_words - 1}")
-    sketched = checkpointed(rows.mapInPandas(lambda it: _sketch(it, min_words), "id long, doc long, n int, bag binary, sketch binary, coords binary"))
+    sketched = checkpointed(rows.mapInPandas(lambda it: _sketch(it, min_words, trees), "id long, doc long, n int, bag binary, sketch binary, coords binary"))
     members = sketched.select("id", "doc", F.col("bag").alias("class")).distinct()
     same = F.when(F.min("doc") == F.max("doc"), F.min("doc")).otherwise(F.lit(-1))
     classes = sketched.groupBy("bag").agg(same.alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("coords").alias("coords"))
@@ -237,7 +254,7 @@ def similar_classes(texts: DataFrame, key: str, group: str, text: str, threshold
     agree -= 3 * (agree * (1 - agree) / (64 * SKETCH_WORDS)) ** 0.5
     schema = "bag binary, doc long, n int, sketch binary, coords binary"
     nodes = classes.mapInPandas(lambda it: _branch(it, trees, levels), "node long, " + schema)
-    found = nodes.repartition("node").sortWithinPartitions("node").mapInPandas(lambda it: _compare(it, agree, threshold), "a binary, b binary").distinct()
+    found = nodes.repartition("node").sortWithinPartitions("node").mapInPandas(lambda it: _compare(it, agree, threshold, max(1, DEPTH - levels)), "a binary, b binary").distinct()
     bags = rows.mapInPandas(lambda it: _bags(it, min_words), "bag binary, tokens array<long>")
     found = checkpointed(found)
     wanted = found.select(F.explode(F.array("a", "b")).alias("bag")).distinct()

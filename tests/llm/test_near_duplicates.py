@@ -62,3 +62,20 @@ def test_similarity_is_the_stated_one(spark):
     df = spark.createDataFrame([(1, 1, a), (2, 2, b), (3, 3, b + " c")], "id long, doc long, text string")
     _, pairs = N.similar_classes(df, "id", "doc", "text")
     assert sorted(round(r.similarity, 4) for r in pairs.collect()) == [0.8, round(100 / 101, 4)]
+
+
+def test_edited_template_with_a_third_of_the_rows(spark):
+    rng = random.Random(4)
+    template = [f"t{k}" for k in range(100)]
+    rows, edits = [], []
+    for k in range(1000):
+        edited = template[:]
+        edits.append(set(rng.sample(range(100), 12)))
+        for j in edits[-1]:
+            edited[j] = f"e{k}x{j}"
+        rows.append((k, k, " ".join(edited)))
+    rows += [(k, k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))) for k in range(1000, 3000)]
+    want = {(i, j) for i, j in combinations(range(1000), 2) if len(edits[i] & edits[j]) >= 4}
+    df = spark.createDataFrame(rows, "id long, doc long, text string")
+    got = {tuple(r) for r in N.similar_pairs(*N.similar_classes(df, "id", "doc", "text")).collect()}
+    assert got <= want and len(got) >= 0.975 * len(want) > 1000
