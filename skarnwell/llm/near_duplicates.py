@@ -29,7 +29,6 @@ COORDINATES, SKETCH_WORDS = 32, 8  # 8-bit minwise values for a tree; 64-bit wor
 TREES, LEAF = 8, 48
 DEPTH = 5  # levels of a tree; what is still together is compared by sketch, since deeper nodes lose similar classes
 TOP_SHARE, TOP_ROWS = 0.02, 20_000  # a coordinate leaves at most about this share of the classes together; rows of a node that one task takes
-MAX_COPIES = 1000
 
 _M1, _M2, _GOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -266,24 +265,25 @@ def similar_classes(texts: DataFrame, key: str, group: str, text: str, threshold
     return members, pairs.filter(F.col("similarity") >= threshold - 1e-12)
 
 
-def similar_pairs(members: DataFrame, pairs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+def similar_pairs(members: DataFrame, pairs: DataFrame, max_copies: int | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: texts of different groups that are similar.
 
-    Pairs of classes are spelt out into pairs of their members, and so are classes themselves, but for
-    classes of more than max_copies members: of such a class only the first member of each group stands for the
+    Pairs of classes are spelt out into pairs of their members, and so are classes themselves. With max_copies,
+    of a class of more than that many members only the first member of each group stands for the
     others of that group against other classes, and within it the first members of the groups are each paired
     with the smallest. Their membership stays whole in `members`.
     """
     size = members.groupBy("class").agg(F.count("*").alias("size"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
+    many = "false" if max_copies is None else f"size > {int(max_copies)}"
     linked = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).union(size.filter("size > 1 and first_doc != last_doc").select("class")).distinct()
     m = members.join(linked, "class", "left_semi").join(size.select("class", "size"), "class")
-    stand_in = m.filter(f"size > {max_copies}").groupBy("class", "doc").agg(F.min("id").alias("id"), F.first("size").alias("size")).select("class", "id", "doc", "size")
-    m = checkpointed(m.filter(f"size <= {max_copies}").select("class", "id", "doc", "size").unionByName(stand_in))
+    stand_in = m.filter(many).groupBy("class", "doc").agg(F.min("id").alias("id"), F.first("size").alias("size")).select("class", "id", "doc", "size")
+    m = checkpointed(m.filter(f"not ({many})").select("class", "id", "doc", "size").unionByName(stand_in))
     a = m.select(F.col("class").alias("class_a"), F.col("id").alias("x"), F.col("doc").alias("dx"))
     b = m.select(F.col("class").alias("class_b"), F.col("id").alias("y"), F.col("doc").alias("dy"))
     across = pairs.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").filter("dx != dy").select("x", "y")
-    few = m.filter(f"size <= {max_copies} and size > 1")
+    few = m.filter(f"not ({many}) and size > 1")
     within = few.alias("p").join(few.alias("q"), F.expr("p.class = q.class and p.id < q.id and p.doc != q.doc")).selectExpr("p.id as x", "q.id as y")
-    lead = m.filter(f"size > {max_copies}").groupBy("class").agg(F.min(F.struct("id", "doc")).alias("lead"))
-    star = m.filter(f"size > {max_copies}").join(lead, "class").filter("doc != lead.doc").selectExpr("lead.id as x", "id as y")
+    lead = m.filter(many).groupBy("class").agg(F.min(F.struct("id", "doc")).alias("lead"))
+    star = m.filter(many).join(lead, "class").filter("doc != lead.doc").selectExpr("lead.id as x", "id as y")
     return across.union(within).union(star).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -79,3 +79,12 @@ def test_edited_template_with_a_third_of_the_rows(spark):
     df = spark.createDataFrame(rows, "id long, doc long, text string")
     got = {tuple(r) for r in N.similar_pairs(*N.similar_classes(df, "id", "doc", "text")).collect()}
     assert got <= want and len(got) >= 0.975 * len(want) > 1000
+
+
+def test_large_class_is_spelt_out(spark):
+    words = [f"w{k}" for k in range(70)]
+    rng = random.Random(3)
+    rows = [(k, k, " ".join(rng.sample(words, 70))) for k in range(1100)] + [(5000, 5000, " ".join(words[:-1] + ["other"]))]
+    df = spark.createDataFrame(rows, "id long, doc long, text string")
+    found = N.similar_pairs(*N.similar_classes(df, "id", "doc", "text"))
+    assert found.count() == 1100 * 1099 // 2 + 1100
