@@ -88,6 +88,8 @@ class Scorer:
         for c, w, e in phrases:
             self.phrases.setdefault(e.split()[0], []).append((e.split(), c, w))
         self.phrase_words = {w for _, _, e in phrases for w in e.split()}
+        self.parts = Trie(w for w in self.phrase_words if len(w) >= 4 and w.isascii())  # marks tell words of tonal languages apart
+        self.short = Trie(t for t in self.terms if 4 <= len(t) <= 5 and t.isascii())
         self.excuses = {e.strip() for e in lexicon.EXCUSES.split(",")}
         self.memory: dict[str, tuple[str, float] | None] = {}
 
@@ -103,13 +105,13 @@ class Scorer:
             if hit:
                 return hit[0], 1.0
         letters = sum(ch.isalpha() for ch in bare)
-        if letters < 1 or not 3 <= len(bare) <= 60:
+        drawn = re.sub(r"(.)\1{2,}", r"\1", bare)
+        if letters < 1 or len(bare) < 3 or len(drawn) > 60:
             return None
-        if DISGUISE.search(bare) and (letters >= 2 or len(set(bare)) > 2):
+        if len(bare) <= 60 and DISGUISE.search(bare) and (letters >= 2 or len(set(bare)) > 2):
             hit = self.trie.within(bare, 0)
             if hit and letters * 2 >= len(bare) - 1:
                 return hit[0], 1.0
-        drawn = re.sub(r"(.)\1{2,}", r"\1", bare)
         if drawn != bare:
             for form in (drawn, re.sub(r"(.)\1{2,}", r"\1\1", bare)):
                 if form in self.terms or form in self.phrase_words:
@@ -117,10 +119,19 @@ class Scorer:
                 hit = self.trie.within(form, 0) if DISGUISE.search(form) else None
                 if hit:
                     return hit[0], 1.0
-        if len(bare) >= 6 and bare.isalpha():
+        if 6 <= len(bare) <= 60 and bare.isalpha():
             hit = self.trie.within(bare, 1 if len(bare) < 10 else 2)
-            if hit and hit[0][0] == bare[0] and len(hit[0]) >= 6 and self.terms[hit[0]][1] >= 1.0:
-                return hit[0], 1.0 if len(bare) >= 7 else 0.6
+            if hit and hit[0][0] == bare[0] and len(hit[0]) >= 6:
+                weak = self.terms[hit[0]][1] < 1.0  # plain words are near some of them, but seldom by swapped or left-out letters
+                sure = len(bare) < len(hit[0]) or sorted(hit[0]) == sorted(bare) if weak else len(bare) >= 7
+                return hit[0], 1.0 if sure else 0.6
+        if len(bare) <= 60 and bare.isalpha() and bare.isascii():
+            hit = self.parts.within(bare, 1)
+            if hit and hit[0][0] == bare[0]:
+                return hit[0], 1.0
+            hit = self.short.within(bare, 1) if len(bare) <= 6 else None
+            if hit and hit[0][0] == bare[0]:  # many plain words are that near; few are by swapped letters
+                return hit[0], 1.0 if sorted(hit[0]) == sorted(bare) else 0.4
         return None
 
     def resolve(self, word: str) -> tuple[str, float] | None:

@@ -63,3 +63,13 @@ def test_agreement_with_reviewers(spark):
     n = {(r.found, r.bad): r["count"] for r in both}
     right = n.get((True, True), 0) + n.get((False, False), 0)
     assert right / sum(n.values()) > 0.93
+
+
+@pytest.mark.parametrize("text", ["you idoit", "what a bicth", "kil yourself", "you are a stuipd, worthles, uselss team", "an i" + "d" * 70 + "iot"])
+def test_misspelled_short_weak_and_phrase_words(text):
+    assert max(T.scorer().text(text)) >= T.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["the port count of the switch", "the carp in the pond", "giá trị đừng nâng lên"])
+def test_plain_words_near_terms(text):
+    assert max(T.scorer().text(text)) < T.THRESHOLD
