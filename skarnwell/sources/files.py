@@ -169,7 +169,7 @@ def archive_members(files: DataFrame, prefix: str, folder: str = "") -> DataFram
     return files.select("content").mapInPandas(run, "path string, text string")
 
 
-def message_parts(data: bytes, most: int = 60_000, attachments: int = 10) -> tuple[str, str, list[tuple[str, str]]]:
+def message_parts(data: bytes, most: int | None = None, attachments: int | None = None) -> tuple[str, str, list[tuple[str, str]]]:
     """(subject, text, attachments) of an e-mail: headers and bodies, HTML reduced to text."""
     m = message_from_bytes(data, policy=policy.default)
     heads = [f"{h}: {m[h]}" for h in ("From", "To", "Subject") if m[h]]
@@ -181,7 +181,7 @@ def message_parts(data: bytes, most: int = 60_000, attachments: int = 10) -> tup
             continue
         if part.get_filename():
             text = read_bytes(part.get_filename(), part.get_payload(decode=True) or b"")
-            if text and len(files) < attachments:
+            if text and (attachments is None or len(files) < attachments):
                 files.append((part.get_filename(), text))
         elif part.get_content_type() == "text/plain":
             bodies.append(part.get_content())

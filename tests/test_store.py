@@ -134,3 +134,17 @@ def test_index_ignores_null_texts(spark, tmp_path):
     cat = Catalog(spark, str(tmp_path / "cat"))
     found = spark.createDataFrame([("a", None, 1.0), (None, "x", 1.0), ("b", "text", None)], "path string, text string, mtime double")
     assert ingest.index(cat, found, "s", HashingEmbedder(8)) == {"new": 1}
+
+
+def test_long_mail_stays_whole():
+    from email.message import EmailMessage
+
+    from skarnwell.sources.files import message_parts
+
+    m = EmailMessage()
+    m["Subject"] = "long"
+    m.set_content("word " * 20_000 + "end")
+    for k in range(12):
+        m.add_attachment(f"text {k}".encode(), maintype="text", subtype="plain", filename=f"a{k}.txt")
+    _, text, files = message_parts(bytes(m))
+    assert text.endswith("end") and len(text) > 100_000 and len(files) == 12
