@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarnwell.llm import canonical, contamination, conversations, near_duplicates, neighbours, packing, splitting, toxicity
+from skarnwell.operators.components import connected_components
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -35,6 +36,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_lines(chunks, "chunk_id", "text", golden, "query_id", "question")
 
 
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical form of every chunk and golden query."""
+    c = _read(spark, d, "chunks").select(F.lit("chunks").alias("tab"), F.col("id").cast("long").alias("id"), "text")
+    g = _read(spark, d, "golden_public").select(F.lit("golden_public").alias("tab"), F.col("query_id").cast("long").alias("id"), F.col("query").alias("text"))
+    return canonical.with_canonical(c.unionByName(g).distinct(), "text", "text")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Messages of whole chats, in order."""
     return conversations.rebuild(spark, f"{d}/messages.parquet")
@@ -46,6 +54,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_pairs(members, pairs)
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of chunks of different documents that say nearly the same: a row per chunk with its group's smallest id and its path."""
+    members, pairs = near_duplicates.similar_classes(_read(spark, d, "chunks"), "id", "doc_id", "text", threshold=0.8, min_words=60)
+    linked = connected_components(pairs, "class_a", "class_b").select(F.col("node").alias("class"), "component")
+    alone = members.groupBy("class").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a != b").join(linked, "class", "left_anti")
+    rows = members.join(linked.unionByName(alone.select("class", F.col("class").alias("component"))), "class")
+    first = rows.groupBy("component").agg(F.min("id").alias("group"))
+    paths = _read(spark, d, "documents").select("doc_id", "path")
+    return rows.join(first, "component").select("group", "id", F.col("doc").alias("doc_id")).join(paths, "doc_id", "left").select("group", "id", "doc_id", "path")
+
+
 VECTORS = {"chunks": "id", "memories": "id", "answer_cache": "cache_key"}
 
 
@@ -88,4 +107,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_containers, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p6_containers, p7_found, p8_found, p8_rates)}
