@@ -49,19 +49,28 @@ def parse_filters(query: str) -> tuple[str, Filters]:
     return " ".join(text.split()), f
 
 
+#: A filter as one token of a query, for the JVM; what is no filter comes character by character.
+_FILTER = r"(?<![\w-])[a-z][a-z0-9_-]*:(?:\"[^\"]*\"|\S+)"
+
+
 def with_filters(queries: DataFrame, query: str) -> DataFrame:
-    """queries with `text`, `folder`, `source` and `meta` parsed from the query column, in the JVM."""
-    pairs = F.regexp_extract_all(F.col(query), F.lit(r"(?i)(?<![\w-])([a-z][a-z0-9_-]*:(?:\"[^\"]*\"|\S+))"), F.lit(1))
+    """queries with `text`, `folder`, `source` and `meta` parsed from the query column, in the JVM; the same as parse_filters row by row.
+
+    A query is read from left to right: a filter is struck where it stands, so one that is part of another stays whole, and of a repeated key the last
+    value counts. A null query has null results.
+    """
+    tokens = F.regexp_extract_all(F.col(query), F.lit(rf"(?siU){_FILTER}|."), F.lit(0))
     key = lambda p: F.lower(F.substring_index(p, ":", 1))
-    value = lambda p: F.regexp_replace(F.substring(p, F.instr(p, ":") + 1, F.length(p)), '"', "")
-    kept = F.filter(pairs, lambda p: ~key(p).isin(list(RESERVED)) & (value(p) != "") & ~value(p).startswith("//"))
+    value = lambda p: F.regexp_replace(F.substring(p, F.instr(p, ":") + 1, F.length(p)), '^"+|"+$', "")
+    is_filter = lambda p: (F.length(p) > 1) & (F.instr(p, ":") > 1) & ~key(p).isin(list(RESERVED)) & (value(p) != "") & ~value(p).startswith("//")
+    kept = F.filter(tokens, is_filter)
     last = lambda name: F.try_element_at(F.filter(kept, lambda p: key(p) == name), F.lit(-1))
-    rest = F.aggregate(kept, F.col(query), lambda acc, p: F.replace(acc, p, F.lit(" ")))
     others = F.filter(kept, lambda p: ~key(p).isin("folder", "source"))
+    final = F.filter(others, lambda p, i: ~F.exists(F.slice(others, i + 2, F.greatest(F.size(others), F.lit(1))), lambda q: key(q) == key(p)))
+    text = F.array_join(F.transform(tokens, lambda p: F.when(is_filter(p), " ").otherwise(p)), "")
     return queries.withColumns({
-        "text": F.trim(F.regexp_replace(rest, r"(?U)\s+", " ")),
-        "folder": value(last("folder")), "source": value(last("source")),
-        "meta": F.map_from_entries(F.array_distinct(F.transform(others, lambda p: F.struct(key(p), F.lower(value(p)))))),
+        "text": F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), "folder": value(last("folder")), "source": value(last("source")),
+        "meta": F.map_from_entries(F.transform(final, lambda p: F.struct(key(p), value(p)))),
     })
 
 

@@ -32,7 +32,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Chunks without repeated rows; only the columns asked for are read and shuffled."""
     rows = table(spark, d, "chunks")
-    return (rows.select("id", *columns) if columns else rows).dropDuplicates(["id"])
+    return (rows.select("id", *(c for c in columns if c != "id")) if columns else rows).dropDuplicates(["id"])
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -47,9 +47,8 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """Cached questions with their vectors, as a batch of queries."""
-    rows = table(spark, d, "answer_cache").dropDuplicates(["cache_key"])
-    return rows.filter((F.size("embedding") == DIM) & F.exists("embedding", lambda x: x != 0)).select("cache_key", "question", "embedding", "fingerprint")
+    """Cached questions as a batch of queries. Those without a usable vector stay: only vector lanes leave them out."""
+    return table(spark, d, "answer_cache").dropDuplicates(["cache_key"]).select("cache_key", "question", "embedding", "fingerprint")
 
 
 def golden(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +65,7 @@ def sql_tokens(x: str) -> str:
 CH = "ch AS (SELECT DISTINCT ON (id) * FROM chunks)"
 MSG = """msg AS (SELECT DISTINCT ON (id) id, chat_id, CASE WHEN lower(trim(role)) IN ('user','human') THEN 'user' WHEN lower(trim(role)) IN ('assistant','ai','bot') THEN 'assistant' ELSE lower(trim(role)) END AS role,
   text, citations, feedback, created_at FROM messages WHERE chat_id IS NOT NULL)"""
-QUESTIONS = f"questions AS (SELECT DISTINCT ON (cache_key) cache_key, question, embedding, fingerprint FROM answer_cache WHERE len(embedding) = {DIM} AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0)"
+QUESTIONS = "questions AS (SELECT DISTINCT ON (cache_key) cache_key, question, embedding, fingerprint FROM answer_cache)"
 GOLDEN = "golden AS (SELECT query_id, regexp_replace(query, '^folder:[^ ]+ ', '') AS text, regexp_extract(query, '^folder:([^/ ]+)', 1) AS folder, relevant, category, history, query FROM golden_public)"
 INDEX = f"""tok AS (SELECT id, unnest({sql_tokens('text')}) AS term FROM ch), tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term),
 dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id), st AS (SELECT (SELECT count(*) FROM ch) AS n, (SELECT count(*) FROM tok) / (SELECT count(*) FROM ch)::DOUBLE AS avgdl),

@@ -78,7 +78,7 @@ def memories_topk(spark: SparkSession, d: str) -> DataFrame:
     return conversation.relevant_memories(table(spark, d, "memories"), questions(spark, d), "cache_key", "embedding", DIM)
 
 
-@query(f"""WITH mm AS (SELECT DISTINCT ON (id) id, embedding FROM memories), {QUESTIONS}, s AS (SELECT q.cache_key, c.id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM questions q, mm c WHERE len(c.embedding) = {DIM} AND list_sum(list_transform(c.embedding, lambda x: abs(x))) > 0)
+@query(f"""WITH mm AS (SELECT DISTINCT ON (id) id, embedding FROM memories), {QUESTIONS}, s AS (SELECT q.cache_key, c.id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM questions q, mm c WHERE len(c.embedding) = {DIM} AND list_sum(list_transform(c.embedding, lambda x: abs(x))) > 0 AND len(q.embedding) = {DIM} AND list_sum(list_transform(q.embedding, lambda x: abs(x))) > 0)
     SELECT cache_key, id, score FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY score DESC, id DESC) AS n FROM s WHERE score >= 0.3) WHERE n = 1""")
 def corrections_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Memories stand for corrections, of which there is no table; a lower bar, so that there are rows."""

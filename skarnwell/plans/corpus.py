@@ -20,7 +20,7 @@ def sources_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CH} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM ch) AS chunks")
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).agg(F.count("*").alias("documents")).crossJoin(F.broadcast(chunks(spark, d).agg(F.count("*").alias("chunks"))))
+    return documents(spark, d).agg(F.count("*").alias("documents")).crossJoin(F.broadcast(chunks(spark, d, "id").agg(F.count("*").alias("chunks"))))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")

@@ -232,12 +232,33 @@ def eval_by_category(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.by_category(evaluate.metrics(golden(spark, d), _ranked_docs(spark, d), "query_id"))
 
 
-@query("""SELECT query_id, trim(regexp_replace(query, 'folder:[^ ]+', ' ')) AS text, regexp_extract(query, 'folder:([^ ]+)', 1) AS folder FROM golden_public WHERE NOT regexp_matches(regexp_replace(query, '^folder:[^ ]+', ''), ':[^ ]')""")
+#: Queries that are hard to read, as text, folder, source and metadata that they stand for.
+HARD = {
+    "type:a type:b foo": ("foo", None, None, "type=b"), "folder:a folder:ab text": ("text", "ab", None, ""), 'folder:"my notes" TEAM:"Site Ops" who': ("who", "my notes", None, "team=Site Ops"),
+    "see https://x.example/a:b and source:web": ("see https://x.example/a:b and", None, "web", ""), "a-b:c x_b:d b:c": ("", None, None, "a-b=c;x_b=d;b=c"), "key: spaced  key:\"\" 12:30 k://x": ('key: spaced key:"" 12:30 k://x', None, None, ""),
+    "http:type:a source:": ("http:type:a source:", None, None, ""), "": ("", None, None, ""),
+}
+
+
+def _sql_text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_TOKEN = r"(^|[^\p{L}\p{N}_-])([a-zA-Z][a-zA-Z0-9_-]*):(\"[^\"]*\"|[^\s]+)"
+
+
+@query(f"""WITH t AS (SELECT query_id, query, regexp_extract_all(query, '{_TOKEN}') AS p FROM golden_public), v AS (SELECT query_id, query, list_transform(p, lambda x: trim(x)) AS p FROM t),
+    w AS (SELECT query_id, query, list_filter(p, lambda x: lower(split_part(x, ':', 1)) NOT IN ({', '.join(map(repr, fusion.RESERVED))}) AND NOT starts_with(substr(x, instr(x, ':') + 1), '//')) AS p FROM v),
+    m AS (SELECT query_id, query, p, list_filter(p, lambda x: lower(split_part(x, ':', 1)) NOT IN ('folder', 'source')) AS o, list_filter(p, lambda x: starts_with(lower(x), 'folder:')) AS f, list_filter(p, lambda x: starts_with(lower(x), 'source:')) AS s FROM w)
+    SELECT query_id, trim(regexp_replace(list_reduce(p, lambda q, x: replace(q, x, ' '), query), '[\\s\\p{{Z}}]+', ' ', 'g')) AS text, trim(substr(f[-1], 8), '"') AS folder, trim(substr(s[-1], 8), '"') AS source,
+      array_to_string(list_transform(o, lambda x: lower(split_part(x, ':', 1)) || '=' || trim(substr(x, instr(x, ':') + 1), '"')), ';') AS meta FROM m
+    UNION ALL VALUES {', '.join(f"({-1 - n}, {_sql_text(v[0])}, {_sql_text(v[1])}, {_sql_text(v[2])}, {_sql_text(v[3])})" for n, v in enumerate(HARD.values()))}""")
 def filter_grammar(spark: SparkSession, d: str) -> DataFrame:
-    """Golden queries parsed by the filter grammar, but for those with another colon in the question."""
-    rows = golden(spark, d).select("query_id", "query").filter(~F.regexp_replace("query", "^folder:[^ ]+", "").rlike(":[^ ]"))
-    parsed = fusion.with_filters(rows, "query")
-    return parsed.select("query_id", F.trim(F.regexp_replace("query", "folder:[^ ]+", " ")).alias("text"), "folder")
+    """All golden queries and some hard ones, parsed by the filter grammar as one batch."""
+    hard = spark.createDataFrame([(-1 - n, q) for n, q in enumerate(HARD)], "query_id long, query string")
+    parsed = fusion.with_filters(golden(spark, d).select("query_id", "query").unionByName(hard), "query")
+    meta = F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return parsed.select("query_id", "text", "folder", "source", meta.alias("meta"))
 
 
 def hash_search(spark: SparkSession, d: str) -> DataFrame:

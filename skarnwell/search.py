@@ -38,7 +38,7 @@ class Options:
 def scope_of(queries: DataFrame, corpus: Corpus, query_id: str) -> DataFrame:
     """(query_id, id) for the chunks in the scope of every query that has filters; queries without filters have no rows."""
     restricted = queries.filter(F.col("folder").isNotNull() | F.col("source").isNotNull() | (F.size("meta") > 0)).select(query_id, "folder", F.col("source").alias("wanted_source"), "meta")
-    meta = F.forall(F.map_entries("meta"), lambda e: F.lower(F.coalesce(F.try_element_at("metadata", e["key"]), F.lit(""))) == e["value"])
+    meta = F.forall(F.map_entries("meta"), lambda e: F.lower(F.coalesce(F.try_element_at("metadata", e["key"]), F.lit(""))) == F.lower(e["value"]))
     docs = corpus.documents.select("doc_id", "path", "source", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
     inside = docs.join(restricted, fusion.in_scope(F.col("folder"), F.col("wanted_source"), F.col("path"), F.col("source")) & meta)
     return inside.select(query_id, "doc_id").join(corpus.chunks.select("id", "doc_id"), "doc_id").select(query_id, "id")

@@ -70,6 +70,22 @@ def test_model_json():
     assert A.memories_in('Sure: ["likes tea", "x", 3]') == ["likes tea"] and A.memories_in("none") == []
 
 
-@pytest.mark.parametrize("question, want", [("who calls core.emit?", ("emit", True)), ("Where is parse_filters defined?", ("parse_filters", True)), ("who calls the shots", ("", False)), ("ai gọi emit?", ("emit", False)), ("hello", ("", False))])
+@pytest.mark.parametrize("question, want", [("who calls core.emit?", ("emit", True)), ("Where is parse_filters defined?", ("parse_filters", True)), ("who calls the shots", ("", False)), ("ai gọi emit?", ("emit", False)), ("hello", ("", False)), ("Where does the_cache get used?", ("the_cache", True)), ("callers of `Store.put`.", ("put", True)), ("biến max_rows được định nghĩa ở đâu", ("max_rows", True)), ("where is everything", ("", False))])
 def test_symbol_questions(question, want):
     assert A.symbol_question(question) == want
+
+
+def test_filter_grammar_in_a_batch_equals_it_row_by_row(spark):
+    from skarnwell.operators import fusion
+    from skarnwell.plans.retrieval import HARD
+
+    queries = [*HARD, "tab\tsource:a\nsource:b  x", "é:a éa:b", 'a:"" b:"x', "FOLDER:X Type:Y type:z"]
+    rows = spark.createDataFrame([(k, q) for k, q in enumerate([*queries, None])], "n int, q string")
+    got = {r.n: r for r in fusion.with_filters(rows, "q").collect()}
+    for k, q in enumerate(queries):
+        text, f = fusion.parse_filters(q)
+        assert (got[k].text, got[k].folder, got[k].source, got[k].meta) == (text, f.folder, f.source, f.meta), q
+    assert got[len(queries)].text is None
+    for q, (text, folder, source, meta) in HARD.items():
+        t, f = fusion.parse_filters(q)
+        assert (t, f.folder, f.source, ";".join(f"{k}={v}" for k, v in f.meta.items())) == (text, folder, source, meta)
