@@ -1,9 +1,10 @@
 """Scores for abusive, hateful and sexual language.
 
 Words are read through their disguises: look-alike letters and invisible characters, letters spaced out,
-drawn out, replaced by digits and signs, or masked. A Levenshtein automaton of the word, walked along the
-trie of the lexicon, gives the lexicon term it stands for. Terms and phrases add up within a window of
-words, less where the window speaks of rules, medicine, law or machines.
+drawn out, replaced by digits and signs, masked or misspelled. One automaton, the intersection of the words'
+Levenshtein automata with the trie of the lexicon, reads every distinct word once and gives the lexicon term it
+stands for. Terms and patterns of terms add up within a window of words; what is quoted as someone else's, named
+as a word, or stands near words on rules, medicine, law or machines counts less.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from skarnwell.llm import lexicon
 from skarnwell.llm.lookalike import canonical
 
 CATEGORIES = ("abusive", "hateful", "sexual")
-THRESHOLD, WINDOW, EXCUSED = 1.0, 14, 0.3
+THRESHOLD, WINDOW, NEAR = 1.0, 14, 8
+EXCUSED, MENTIONED, QUOTED = 0.3, 0.3, 0.3  # what is left of a weight
 TOKEN = re.compile(r"[\w@$*]+(?:!(?=\w)\w+)?")
 SPACED = re.compile(r"(?<![\w.*-])(?:[^\W_][ .*_-]){2,}[^\W_](?![\w*-])")
-SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+QUOTE = re.compile(r'"[^"]+"|“[^”]+”|„[^“”]+[“”]|«[^»]+»')
 DISGUISE = re.compile(r"[\d@$*!_]")
+DRAWN = re.compile(r"(.)\1{2,}")
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 WILD = "*"
@@ -40,111 +44,181 @@ def _entries(text: str) -> list[tuple[int, float, str]]:
     return out
 
 
-class Trie:
-    """Lexicon terms by letter; `end` holds the term at its last node."""
+def _listed(text: str) -> set[str]:
+    return {e.strip() for e in text.split(",") if e.strip()}
 
-    def __init__(self, terms):
-        self.root: dict = {}
-        for t in terms:
-            node = self.root
+
+def edits_allowed(term: str) -> int:
+    """None below 4 letters, where most words are one edit from another; two from 10 letters on."""
+    return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
+
+
+class Automaton:
+    """Every lexicon term within its edits of the word read: the Levenshtein automata of words, intersected with the lexicon's trie.
+
+    A state is what a nondeterministic run may be in after a prefix of the word: trie nodes with the edits made, and nodes that wait for the
+    first of two swapped letters. States are made when first reached and numbered, so that a word costs one look-up a letter, and a word unlike
+    all terms ends after a few. A wildcard stands for any one letter, a sign for its letters. The first letter is not edited, only swapped.
+    """
+
+    def __init__(self, terms: set[str]):
+        self.child: list[dict[str, int]] = [{}]
+        self.term: list[str | None] = [None]
+        self.most = [0]  # edits that some term below a node allows
+        for t in sorted(terms):
+            node = 0
+            self.most[0] = max(self.most[0], edits_allowed(t))
             for ch in t:
-                node = node.setdefault(ch, {})
-            node["end"] = t
-
-    def within(self, word: str, most: int) -> tuple[str, int] | None:
-        """The term nearest to the word, at most `most` edits away; a wildcard stands for any one letter, a sign for its letters.
-
-        The row of edit distances between the word's prefixes and the path walked so far is the automaton's state;
-        a branch is left when no entry of it is within reach.
-        """
-        best: tuple[str, int] | None = None
-        n = len(word)
-        stack = [(self.root, list(range(n + 1)), None, None)]
-        while stack:
-            node, row, before, last = stack.pop()
-            if "end" in node and row[n] <= most and (best is None or (row[n], node["end"]) < (best[1], best[0])):
-                best = (node["end"], row[n])
-            for ch, child in node.items():
-                if ch == "end":
-                    continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    same = w == ch or w == WILD or ch in LEET.get(w, "")
-                    d = min(row[i] + (not same), row[i + 1] + 1, new[i] + 1)
-                    if before is not None and i and w == last and word[i - 1] == ch:
-                        d = min(d, before[i - 1] + 1)  # two letters swapped
-                    new.append(d)
-                if min(new) <= most:
-                    stack.append((child, new, row, ch))
-        return best
+                if ch not in self.child[node]:
+                    self.child[node][ch] = len(self.child)
+                    self.child.append({})
+                    self.term.append(None)
+                    self.most.append(0)
+                node = self.child[node][ch]
+                self.most[node] = max(self.most[node], edits_allowed(t))
+            self.term[node] = t
+        self.number: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.next: list[dict[str, int]] = []
+        self.found: list[tuple[tuple[str, int], ...]] = []
+        self.dead = self._numbered({})
+        self.start = self._numbered({(0, ""): 0})
+
+    def _numbered(self, state: dict[tuple[int, str], int]) -> int:
+        key = frozenset(state.items())
+        at = self.number.get(key)
+        if at is None:
+            at = self.number[key] = len(self.states)
+            self.states.append(key)
+            self.next.append({})
+            self.found.append(tuple(sorted(((self.term[n], e) for (n, swap), e in state.items() if not swap and self.term[n] and e <= edits_allowed(self.term[n])), key=lambda x: (x[1], x[0]))))
+        return at
+
+    def _step(self, state: frozenset, ch: str) -> int:
+        new: dict[tuple[int, str], int] = {}
+
+        def reach(node: int, edits: int, swap: str = "") -> None:
+            if edits <= self.most[node] and edits < new.get((node, swap), 9):
+                new[node, swap] = edits
+                if not swap:
+                    for below in self.child[node].values():  # a letter of the term is left out
+                        reach(below, edits + 1)
+
+        for (node, swap), edits in state:
+            children = self.child[node]
+            if swap:
+                between = children.get(ch)
+                if between is not None and swap in self.child[between]:
+                    reach(self.child[between][swap], edits)
+                continue
+            for c, below in children.items():
+                same = c == ch or ch == WILD or c in LEET.get(ch, "")
+                if same:
+                    reach(below, edits)
+                elif node:
+                    reach(below, edits + 1)
+                if not same and ch in self.child[below]:
+                    reach(node, edits + 1, ch)
+            if node:
+                reach(node, edits + 1)
+        return self._numbered(new)
+
+    def read(self, word: str) -> tuple[tuple[str, int], ...]:
+        """(term, edits) of the terms within reach of the word, nearest first."""
+        at = self.start
+        for ch in word:
+            to = self.next[at].get(ch)
+            if to is None:
+                to = self.next[at][ch] = self._step(self.states[at], ch)
+            if to == self.dead:
+                return ()
+            at = to
+        return self.found[at]
 
 
 class Scorer:
     def __init__(self):
         self.terms: dict[str, tuple[int, float]] = {e: (c, w) for c, w, e in reversed(_entries(lexicon.TERMS))}
-        self.trie = Trie(self.terms)
-        phrases = sorted(_entries(lexicon.PHRASES), key=lambda e: -len(e[2]))
-        self.phrases: dict[str, list[tuple[list[str], int, float]]] = {}
-        for c, w, e in phrases:
-            self.phrases.setdefault(e.split()[0], []).append((e.split(), c, w))
-        self.phrase_words = {w for _, _, e in phrases for w in e.split()}
-        self.parts = Trie(w for w in self.phrase_words if len(w) >= 4 and w.isascii())  # marks tell words of tonal languages apart
-        self.short = Trie(t for t in self.terms if 4 <= len(t) <= 5 and t.isascii())
-        self.excuses = {e.strip() for e in lexicon.EXCUSES.split(",")}
-        self.memory: dict[str, tuple[str, float] | None] = {}
+        classes = {}
+        for line in lexicon.CLASSES.strip().splitlines():
+            name, _, body = line.partition(":")
+            classes["@" + name] = _listed(body)
+        self.classes = classes
+        self.patterns: dict[str, list[tuple[list[str], int, float]]] = {}
+        self.parts: set[str] = set()
+        for c, w, e in sorted(_entries(lexicon.PATTERNS), key=lambda e: -len(e[2])):
+            words = e.split()
+            for first in classes.get(words[0], {words[0]}):
+                self.patterns.setdefault(first, []).append((words, c, w))
+            for p in words:
+                self.parts |= classes.get(p, {p})
+        self.parts.discard("_")
+        # marks tell words of tonal languages apart, so words with marks are read as they stand
+        self.automaton = Automaton({t for t in self.terms} | {w for w in self.parts if len(w) >= 4 and w.isascii()})
+        self.mentions, self.calling, self.speech, self.excuses = (_listed(x) for x in (lexicon.MENTIONS, lexicon.CALLING, lexicon.SPEECH, lexicon.EXCUSES))
+        self.ordinary = _listed(lexicon.ORDINARY)
+        self.plain: set[str] = set()  # words seen lately that stand for nothing
+        self.known: dict[str, tuple[str, float]] = {}
 
     def _resolve(self, word: str) -> tuple[str, float] | None:
-        """(term or phrase word, certainty) that a word stands for."""
-        if word in self.terms or word in self.phrase_words:
+        """(term or pattern word, certainty) that a word stands for."""
+        if word in self.terms or word in self.parts:
             return word, 1.0
         bare = word.strip("*_")
-        if bare in self.terms or bare in self.phrase_words:
+        if bare in self.terms or bare in self.parts:
             return bare, 1.0
+        letters = sum(map(str.isalpha, bare))
+        if letters < 1 or len(bare) < 3:
+            return None
         if word.endswith(WILD) and not word.startswith(WILD):  # a masked last letter, not markup
-            hit = self.trie.within(word, 0) if len(bare) >= 3 else None
+            hit = next((t for t, e in self.automaton.read(word) if not e), None)
             if hit:
-                return hit[0], 1.0
-        letters = sum(ch.isalpha() for ch in bare)
-        drawn = re.sub(r"(.)\1{2,}", r"\1", bare)
-        if letters < 1 or len(bare) < 3 or len(drawn) > 60:
-            return None
-        if len(bare) <= 60 and DISGUISE.search(bare) and (letters >= 2 or len(set(bare)) > 2):
-            hit = self.trie.within(bare, 0)
-            if hit and letters * 2 >= len(bare) - 1:
-                return hit[0], 1.0
-        if drawn != bare:
-            for form in (drawn, re.sub(r"(.)\1{2,}", r"\1\1", bare)):
-                if form in self.terms or form in self.phrase_words:
-                    return form, 1.0
-                hit = self.trie.within(form, 0) if DISGUISE.search(form) else None
+                return hit, 1.0
+        drawn = DRAWN.sub(r"\1", bare)
+        for form in dict.fromkeys((bare, drawn, DRAWN.sub(r"\1\1", bare))):
+            if form != bare and (form in self.terms or form in self.parts):
+                return form, 1.0
+            if DISGUISE.search(form) and letters * 2 >= len(bare) - 1 and (letters >= 2 or len(set(bare)) > 2):
+                hit = next((t for t, e in self.automaton.read(form) if not e), None)
                 if hit:
-                    return hit[0], 1.0
-        if 6 <= len(bare) <= 60 and bare.isalpha():
-            hit = self.trie.within(bare, 1 if len(bare) < 10 else 2)
-            if hit and hit[0][0] == bare[0] and len(hit[0]) >= 6:
-                weak = self.terms[hit[0]][1] < 1.0  # plain words are near some of them, but seldom by swapped or left-out letters
-                sure = len(bare) < len(hit[0]) or sorted(hit[0]) == sorted(bare) if weak else len(bare) >= 7
-                return hit[0], 1.0 if sure else 0.6
-        if len(bare) <= 60 and bare.isalpha() and bare.isascii():
-            hit = self.parts.within(bare, 1)
-            if hit and hit[0][0] == bare[0]:
-                return hit[0], 1.0
-            hit = self.short.within(bare, 1) if len(bare) <= 6 else None
-            if hit and hit[0][0] == bare[0]:  # many plain words are that near; few are by swapped letters
-                return hit[0], 1.0 if sorted(hit[0]) == sorted(bare) else 0.4
+                    return hit, 1.0
+        if not bare.isalpha() or bare in self.ordinary:
+            return None
+        for term, edits in self.automaton.read(drawn):
+            sure = self._certainty(drawn, term)
+            if edits and sure:
+                return term, sure
         return None
 
+    def _certainty(self, word: str, term: str) -> float:
+        """How surely a misspelled word stands for a term: short words and weak terms have plain words near them, but seldom by swapped or left-out letters."""
+        swapped = sorted(word) == sorted(term)
+        if term not in self.terms:
+            return 1.0 if word.isascii() else 0.0
+        if len(word) < 4:
+            return 0.0
+        if len(term) < 6:
+            return 0.0 if not (word.isascii() and term.isascii()) else 1.0 if swapped else 0.4
+        if self.terms[term][1] < 1.0:
+            return 1.0 if swapped or len(word) < len(term) else 0.6
+        return 1.0 if swapped or len(word) >= 7 else 0.6
+
     def resolve(self, word: str) -> tuple[str, float] | None:
-        try:
-            return self.memory[word]
-        except KeyError:
-            if len(self.memory) > REMEMBERED:
-                self.memory.clear()
-            self.memory[word] = found = self._resolve(word)
-            return found
+        hit = self.known.get(word)
+        if hit is None and word not in self.plain:
+            hit = self._resolve(word)
+            if hit is None:
+                if len(self.plain) > REMEMBERED:
+                    self.plain.clear()
+                self.plain.add(word)
+            else:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                self.known[word] = hit
+        return hit
 
     def _hits(self, words: list[str]) -> list[tuple[int, int, float, str]]:
-        """(place, category, weight, entry) of terms and phrases in a sentence."""
+        """(place, category, weight, entry) of terms and patterns in a sentence."""
         read = [self.resolve(w) for w in words]
         names = [r[0] if r else w for r, w in zip(read, words, strict=True)]
         hits = []
@@ -154,41 +228,70 @@ class Scorer:
             if r[0] in self.terms:
                 c, w = self.terms[r[0]]
                 hits.append((k, c, w * r[1], r[0]))
-            for phrase, c, w in self.phrases.get(r[0], ()):
-                at = k
-                gap = 0
-                for p in phrase[1:]:
+            for pattern, c, w in self.patterns.get(r[0], ()):
+                at, gap = k, 0
+                for p in pattern[1:]:
                     if p == "_":
                         gap = 4
                         continue
-                    nxt = next((j for j in range(at + 1, min(at + 2 + gap, len(names))) if names[j] == p), None)
-                    if nxt is None:
+                    fits = self.classes.get(p, (p,))
+                    at = next((j for j in range(at + 1, min(at + 2 + gap, len(names))) if names[j] in fits), None)
+                    if at is None:
                         break
-                    at, gap = nxt, 0
+                    gap = 0
                 else:
-                    hits.append((k, c, w, " ".join(phrase)))
+                    hits.append((k, c, w, " ".join(pattern)))
         return hits
 
-    def sentence(self, words: list[str]) -> list[float]:
-        """Score per category: the largest total of distinct entries within a window, excused where the window says so."""
+    def sentence(self, words: list[str], quoted: list[bool] | None = None) -> list[float]:
+        """Score per category: the largest total of distinct entries within a window, by what the words around say of them."""
         best = [0.0, 0.0, 0.0]
         hits = self._hits(words)
         if not hits:
             return best
         excuse = [k for k, w in enumerate(words) if w in self.excuses]
-        for k, *_ in hits:
-            near = {}
-            for j, c, w, e in hits:
+        mention = [k for k, w in enumerate(words) if w in self.mentions]
+        weighed = []
+        for k, c, w, e in hits:
+            if quoted and quoted[k]:
+                w *= QUOTED
+            elif w >= 1.0 and (any(abs(x - k) <= NEAR for x in mention) or not self.calling.isdisjoint(words[max(0, k - 4) : k])):
+                w *= MENTIONED
+            weighed.append((k, c, w, e))
+        for k, *_ in weighed:
+            near: dict[str, tuple[float, int]] = {}
+            for j, c, w, e in weighed:
                 if 0 <= j - k <= WINDOW:
-                    near[e] = max(near.get(e, (0, 0)), (w, c))
+                    near[e] = max(near.get(e, (0.0, 0)), (w, c))
             total = sum(w for w, _ in near.values())
             strong = max(w for w, _ in near.values()) >= 1.0
-            if not strong and any(abs(x - k) <= WINDOW for x in excuse):
+            if not strong and any(abs(x - k) <= WINDOW for x in (*excuse, *mention)):
                 total *= EXCUSED
             top = max(near.values())[1]
             best[top] = max(best[top], total)
         return best
 
+    def _attributed(self, line: str) -> list[tuple[int, int]]:
+        """Passages of a line in quotation marks that a verb of speech, or a word on rules and the like, next to them makes someone else's."""
+        out = []
+        for m in QUOTE.finditer(line):
+            around = TOKEN.findall(line[: m.start()])[-NEAR:] + TOKEN.findall(line[m.end() :])[:NEAR]
+            if not self.speech.isdisjoint(around) or not self.mentions.isdisjoint(around):
+                out.append(m.span())
+        return out
+
+    def _line(self, line: str) -> list[float]:
+        best = [0.0, 0.0, 0.0]
+        spans = self._attributed(line)
+        begin = 0
+        for end in [*(m.start() for m in SENTENCE.finditer(line) if not any(a < m.start() < b for a, b in spans)), len(line)]:
+            found = [(m.group(), m.start() + begin) for m in TOKEN.finditer(line[begin:end])]
+            if any(self.resolve(w) for w, _ in found):
+                quoted = [any(a <= at < b for a, b in spans) for _, at in found] if spans else None
+                best = [max(p) for p in zip(best, self.sentence([w for w, _ in found], quoted), strict=True)]
+            begin = end
+        return best
+
     def _join(self, spaced: re.Match) -> str:
         """The term that spaced-out letters spell, perhaps after a word of one letter; else as they stand."""
         word = re.sub(r"[ .*_-]", "", spaced.group())
@@ -199,13 +302,12 @@ class Scorer:
     def text(self, text: str) -> list[float]:
         """Score per category of a text: that of its worst sentence."""
         best = [0.0, 0.0, 0.0]
-        low = canonical(text).lower()
-        low = SPACED.sub(self._join, low)
-        for part in SENTENCE.split(low):
-            words = TOKEN.findall(part)
-            resolve = self.resolve
-            if any(map(resolve, words)):
-                best = [max(p) for p in zip(best, self.sentence(words), strict=True)]
+        low = SPACED.sub(self._join, canonical(text).lower())
+        for w in set(TOKEN.findall(low)) - self.plain:
+            self.resolve(w)
+        for line in low.split("\n"):
+            if not self.known.keys().isdisjoint(TOKEN.findall(line)):
+                best = [max(p) for p in zip(best, self._line(line), strict=True)]
         return best
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from skarnwell.llm import toxicity as T
@@ -15,13 +17,39 @@ def distance(a, b):
 
 
 def test_automaton_against_plain_distance():
-    terms = ["moron", "morons", "bastard", "cretin", "idiot", "vermin"]
-    trie = T.Trie(terms)
-    for word in ("moron", "mroon", "bastrad", "idjot", "xidiot", "vermine", "cret", "house", "morns"):
-        for most in (0, 1, 2):
-            near = min(((distance(word, t), t) for t in terms))
-            got = trie.within(word, most)
-            assert (got is None) == (near[0] > most) and (got is None or got[1] == near[0])
+    terms = {"moron", "morons", "bastard", "cretin", "idiot", "vermin", "cow", "subhumanity", "motherfucker"}
+    automaton = T.Automaton(terms)
+    rng = random.Random(1)
+    words = ["moron", "mroon", "omron", "xidiot", "cret", "house", "morns", "co", "cows", "", "m" * 200]
+    for _ in range(3000):
+        w = list(rng.choice(sorted(terms)))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(1, len(w)) if len(w) > 1 else 0
+            rng.choice([lambda: w.insert(k, rng.choice("aemnot")), lambda: w.pop(k), lambda: w.__setitem__(k, rng.choice("aemnot")), lambda: w.__setitem__(slice(k - 1, k + 1), w[k - 1 : k + 1][::-1])])()
+        words.append("".join(w))
+    for word in words:
+        want = {(t, distance(word, t)) for t in terms if word and word[0] == t[0] and distance(word, t) <= T.edits_allowed(t)}
+        got = {x for x in automaton.read(word) if x[0][0] == word[:1]}
+        assert got == want, word
+    assert automaton.read("omron") == (("moron", 1),)  # swapped first letters
+
+
+def test_signs_and_masks_in_the_automaton():
+    automaton = T.Automaton({"idiot", "naked"})
+    assert automaton.read("1d10t")[0] == ("idiot", 0) and automaton.read("nak*d")[0] == ("naked", 0) and automaton.read("n*k") == ()
+
+
+@pytest.mark.parametrize("text", [
+    "The policy prohibits calling a colleague an idiot.", 'She said: "You are a moron." The report documents the insult.', "Idiot is a novel by Dostoevsky.", "The veterinarian examined the bitch after the litter.",
+    "Migrants drown in the sea; rats spread disease.", '"You are a moron. Go to hell!" he shouted at her.', "He testified that the defendant called him a bastard.", "who cares about the format, once and for all", "Rats are animals by nature.",
+])
+def test_quotation_report_and_rule_are_not_abuse(text):
+    assert max(T.scorer().text(text)) < T.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["you are a stupd idoit", "Nobody likes you, you worthless creature.", '"Fine", he said. You are a moron.', "I will break your arms", "those people are vermin and should be thrown out of the country"])
+def test_direct_abuse(text):
+    assert max(T.scorer().text(text)) >= T.THRESHOLD
 
 
 @pytest.mark.parametrize("text", [
