@@ -88,6 +88,12 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "tokens", CONTAINER_TOKENS).withColumnRenamed("size", "tokens")
 
 
+def p6_savings(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of every block of documents: the least possible, those of best fit, those of the genetic search."""
+    sizes = packing.token_sizes(_read(spark, d, "documents"), "doc_id", "text")
+    return packing.savings(sizes, "doc_id", "tokens", CONTAINER_TOKENS)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation items of which a document contains a passage."""
     found = contamination.leaks(_read(spark, d, "documents"), "doc_id", "text", _read(spark, d, "eval_items"), "item_id", "text", min_words=13)
@@ -107,4 +113,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p6_containers, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p6_containers, p6_savings, p7_found, p8_found, p8_rates)}
