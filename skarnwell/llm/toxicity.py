@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import pandas as pd
@@ -136,6 +137,15 @@ class Automaton:
         return self.found[at]
 
 
+@dataclass
+class Pattern:
+    words: list[str]
+    rarest_first: list[frozenset[str]]
+    first: frozenset[str]
+    category: int
+    weight: float
+
+
 class Scorer:
     def __init__(self):
         self.terms: dict[str, tuple[int, float]] = {e: (c, w) for c, w, e in reversed(_entries(lexicon.TERMS))}
@@ -144,15 +154,19 @@ class Scorer:
             name, _, body = line.partition(":")
             classes["@" + name] = _listed(body)
         self.classes = classes
-        self.patterns: dict[str, list[tuple[list[str], int, float]]] = {}
+        self.patterns: list[Pattern] = []
+        self.by_word: dict[str, list[int]] = {}  # patterns by the words of their rarest place
         self.parts: set[str] = set()
         for c, w, e in sorted(_entries(lexicon.PATTERNS), key=lambda e: -len(e[2])):
             words = e.split()
-            for first in classes.get(words[0], {words[0]}):
-                self.patterns.setdefault(first, []).append((words, c, w))
-            for p in words:
-                self.parts |= classes.get(p, {p})
-        self.parts.discard("_")
+            places = [frozenset(classes.get(p, {p})) for p in words if p != "_"]
+            for p in places:
+                self.parts |= p
+            # the longest words first: they are the rarest
+            rarest = max(places, key=lambda p: sum(map(len, p)) / len(p))
+            for p in rarest:
+                self.by_word.setdefault(p, []).append(len(self.patterns))
+            self.patterns.append(Pattern(words, sorted(places, key=lambda p: -sum(map(len, p)) / len(p)), places[0], c, w))
         # marks tell words of tonal languages apart, so words with marks are read as they stand
         self.automaton = Automaton({t for t in self.terms} | {w for w in self.parts if len(w) >= 4 and w.isascii()})
         self.mentions, self.calling, self.speech, self.excuses = (_listed(x) for x in (lexicon.MENTIONS, lexicon.CALLING, lexicon.SPEECH, lexicon.EXCUSES))
@@ -217,7 +231,7 @@ class Scorer:
                 self.known[word] = hit
         return hit
 
-    def _hits(self, words: list[str]) -> list[tuple[int, int, float, str]]:
+    def _hits(self, words: list[str], patterns: list[Pattern]) -> list[tuple[int, int, float, str]]:
         """(place, category, weight, entry) of terms and patterns in a sentence."""
         read = [self.resolve(w) for w in words]
         names = [r[0] if r else w for r, w in zip(read, words, strict=True)]
@@ -228,9 +242,11 @@ class Scorer:
             if r[0] in self.terms:
                 c, w = self.terms[r[0]]
                 hits.append((k, c, w * r[1], r[0]))
-            for pattern, c, w in self.patterns.get(r[0], ()):
+            for pattern in patterns:
+                if r[0] not in pattern.first:
+                    continue
                 at, gap = k, 0
-                for p in pattern[1:]:
+                for p in pattern.words[1:]:
                     if p == "_":
                         gap = 4
                         continue
@@ -240,13 +256,13 @@ class Scorer:
                         break
                     gap = 0
                 else:
-                    hits.append((k, c, w, " ".join(pattern)))
+                    hits.append((k, pattern.category, pattern.weight, " ".join(pattern.words)))
         return hits
 
-    def sentence(self, words: list[str], quoted: list[bool] | None = None) -> list[float]:
+    def sentence(self, words: list[str], quoted: list[bool] | None = None, patterns: list[Pattern] | None = None) -> list[float]:
         """Score per category: the largest total of distinct entries within a window, by what the words around say of them."""
         best = [0.0, 0.0, 0.0]
-        hits = self._hits(words)
+        hits = self._hits(words, self.patterns if patterns is None else patterns)
         if not hits:
             return best
         excuse = [k for k, w in enumerate(words) if w in self.excuses]
@@ -280,15 +296,17 @@ class Scorer:
                 out.append(m.span())
         return out
 
-    def _line(self, line: str) -> list[float]:
+    def _line(self, line: str, told: set[str], patterns: list[Pattern]) -> list[float]:
         best = [0.0, 0.0, 0.0]
         spans = self._attributed(line)
         begin = 0
         for end in [*(m.start() for m in SENTENCE.finditer(line) if not any(a < m.start() < b for a, b in spans)), len(line)]:
-            found = [(m.group(), m.start() + begin) for m in TOKEN.finditer(line[begin:end])]
-            if any(self.resolve(w) for w, _ in found):
-                quoted = [any(a <= at < b for a, b in spans) for _, at in found] if spans else None
-                best = [max(p) for p in zip(best, self.sentence([w for w, _ in found], quoted), strict=True)]
+            part = line[begin:end]
+            if any(w in part for w in told):
+                words = TOKEN.findall(part)
+                if not told.isdisjoint(words):
+                    quoted = [any(a <= m.start() + begin < b for a, b in spans) for m in TOKEN.finditer(part)] if spans else None
+                    best = [max(p) for p in zip(best, self.sentence(words, quoted, patterns), strict=True)]
             begin = end
         return best
 
@@ -303,11 +321,19 @@ class Scorer:
         """Score per category of a text: that of its worst sentence."""
         best = [0.0, 0.0, 0.0]
         low = SPACED.sub(self._join, canonical(text).lower())
-        for w in set(TOKEN.findall(low)) - self.plain:
+        words = set(TOKEN.findall(low))
+        for w in words - self.plain:
             self.resolve(w)
-        for line in low.split("\n"):
-            if not self.known.keys().isdisjoint(TOKEN.findall(line)):
-                best = [max(p) for p in zip(best, self._line(line), strict=True)]
+        read = {w: self.known[w][0] for w in words & self.known.keys()}
+        names = set(read.values())
+        at_all = {k for n in names for k in self.by_word.get(n, ()) if not any(place.isdisjoint(names) for place in self.patterns[k].rarest_first)}
+        patterns = [self.patterns[k] for k in sorted(at_all)]
+        wanted = self.terms.keys() | frozenset().union(*(p.rarest_first[0] for p in patterns)) if patterns else self.terms
+        told = {w for w, name in read.items() if name in wanted}
+        if told:
+            for line in low.split("\n"):
+                if any(w in line for w in told):
+                    best = [max(p) for p in zip(best, self._line(line, told, patterns), strict=True)]
         return best
 
 
