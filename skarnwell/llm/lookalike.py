@@ -10,36 +10,38 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
-from functools import lru_cache
+from functools import cache, lru_cache
 
 # Letters that draw the same shape as a Latin letter or mark, as "shape: look-alikes".
 LOOKALIKES = """
-A: Α А Ꭺ
-B: Β В Ᏼ
-C: С Ϲ Ꮯ
-D: Ꭰ
-E: Ε Е Ꭼ
-G: Ɡ Ԍ Ꮐ
-H: Η Н Ꮋ
-I: Ι І Ӏ
-J: Ј Ϳ Ꭻ
-K: Κ К Ꮶ
-L: Ꮮ
-M: Μ М Ϻ Ꮇ
-N: Ν
-O: Ο О Օ
-P: Ρ Р Ꮲ
+A: Α А Ꭺ ꓮ
+B: Β В Ᏼ ꓐ Ⲃ
+C: С Ϲ Ꮯ ꓚ Ⲥ 𐐕
+D: Ꭰ ꓓ
+E: Ε Е Ꭼ ꓰ
+F: ꓝ
+G: Ɡ Ԍ Ꮐ ꓖ
+H: Η Н Ꮋ ꓧ Ⲏ
+I: Ι І Ӏ ꓲ Ⲓ
+J: Ј Ϳ Ꭻ ꓙ
+K: Κ К Ꮶ ꓗ Ⲕ
+L: Ꮮ ꓡ 𐐛
+M: Μ М Ϻ Ꮇ ꓟ Ⲙ
+N: Ν ꓠ Ⲛ
+O: Ο О Օ ꓳ Ⲟ 𐐄
+P: Ρ Р Ꮲ ꓑ Ⲣ
 Q: Ԛ
-R: Ꮢ
-S: Ѕ Ꮪ
-T: Τ Т Ꭲ
-V: Ѵ Ꮩ
-W: Ԝ Ꮃ
-X: Χ Х
-Y: Υ Ү
-Z: Ζ Ꮓ
+R: Ꮢ ꓣ
+S: Ѕ Ꮪ ꓢ 𐐠
+T: Τ Т Ꭲ ꓔ Ⲧ
+U: Ս ꓴ
+V: Ѵ Ꮩ ꓦ
+W: Ԝ Ꮃ ꓪ
+X: Χ Х ꓫ Ⲭ
+Y: Υ Ү ꓬ Ⲩ
+Z: Ζ Ꮓ ꓜ Ⲍ
 a: а ɑ α
-c: с ϲ
+c: с ϲ ⲥ 𐐽
 d: ԁ
 e: е
 g: ɡ ց
@@ -48,10 +50,10 @@ i: і ι
 j: ј ϳ
 l: ӏ
 n: ո
-o: ο о օ
-p: р ρ
-q: ԛ
-s: ѕ
+o: ο о օ ⲟ 𐐬
+p: р ρ ⲣ
+q: ԛ զ
+s: ѕ 𐑈
 u: ս υ
 v: ѵ ν
 w: ԝ
@@ -121,25 +123,56 @@ def canonical_segment(text: str) -> str:
 
 
 def is_stable(ch: str) -> bool:
-    """Quick check: the character is canonical by itself and cannot combine with the one before it."""
-    return ud.combining(ch) == 0 and ch == canonical_segment(ch) and not _joins_left(ch)
+    """Quick check: the character is canonical by itself and cannot combine with the one before it.
+
+    That is the property NFC_Quick_Check=Yes with combining class 0, and of what NFD makes of the character no part changes. A character
+    without decomposition, accent, look-alike or invisible category answers at once; the others are asked what they normalize to.
+    """
+    code = ord(ch)
+    if ud.combining(ch) or ch in _joining() or not ch.isprintable() and ch != "\n":
+        return False
+    if not ud.decomposition(ch) and code not in _SHAPE and ch not in BLANKS and not EMPTY.match(ch):
+        return ch.isalnum() or ch == " " or ch == "\n" or ud.category(ch) not in ("Zs", "Cf", "Cc", "Cn")
+    return ch == canonical_segment(ch)
+
+
+@cache
+def _joining() -> frozenset[str]:
+    """Characters of NFC_Quick_Check=Maybe: those that some composed character ends in, and the vowels and finals of Hangul."""
+    last = {ud.normalize("NFD", chr(c))[-1] for c in range(0x110000) if (d := ud.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    return frozenset(last) | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+
+
+def _ranges(codes) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [(a, b) for a, b in out]
+
+
+#: Where the quick check of the JVM knows stable characters: Latin letters, punctuation, currency. Texts of these alone never leave it.
+LATIN = (*range(0x20, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2030), *range(0x20A0, 0x20C0))
+
+
+def _may_be_unstable() -> str:
+    """A Java pattern of one character outside the stable ones of LATIN. ASCII, nearly all there is, is decided by its first class."""
+    ranges = _ranges(c for c in LATIN if c < 0x7F or is_stable(chr(c)))
+    return "(?=[^\\n\\x20-\\x7E])[^" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in ranges if b > 0x7F) + "]"
 
 
-def _joins_left(ch: str) -> bool:
-    """NFC quick check is 'maybe': a starter that composes with an earlier character (Hangul vowels and finals, some Indic signs)."""
-    return ch in _MAYBE
+MAY_BE_UNSTABLE = _may_be_unstable()
 
 
-_MAYBE = {
-    d[-1] for d in (ud.normalize("NFD", chr(c)) for c in range(0x900, 0x3100) if ud.decomposition(chr(c)) and "<" not in ud.decomposition(chr(c)))
-    if len(d) > 1 and ud.combining(d[-1]) == 0
-} | {chr(c) for c in range(0x1161, 0x1176)} | {chr(c) for c in range(0x11A8, 0x11C3)}
+@cache
+def _runs() -> re.Pattern:
+    """Runs of characters that fail the quick check, whatever their alphabet."""
+    ranges = _ranges(c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and is_stable(chr(c)))
+    return re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+")
 
 
-#: Quick check, for Java and Python: what lies outside printable ASCII, line feeds and these ranges (accented
-#: Latin and Vietnamese letters, quotes, dashes) may be unstable; each character inside them is stable.
-MAY_BE_UNSTABLE = "[^\\n\\x20-\\x7E\\u00A1-\\u00A7\\u00A9\\u00AB\\u00BF-\\u00CF\\u00D1-\\u012F\\u01A0\\u01A1\\u01AF\\u01B0\\u1EA0-\\u1EF9\\u2012-\\u2023\\u20AC]"
-_RUN = re.compile(MAY_BE_UNSTABLE + "+")
 _short = lru_cache(1 << 16)(canonical_segment)
 
 
@@ -153,7 +186,7 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return text
     parts, done = [], 0
-    for m in _RUN.finditer(text):
+    for m in _runs().finditer(text):
         start, end = m.span()
         if start > done and text[start - 1] != "\n":
             start -= 1

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata as ud
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,6 +27,33 @@ def test_splicing_near_marks():
 def test_quick_check_ranges_are_stable():
     unstable = re.compile(L.MAY_BE_UNSTABLE)
     assert all(L.is_stable(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 10 and not unstable.match(chr(c)))
+    assert not any(unstable.match(chr(c)) for c in (*range(0x20, 0x7F), 10, 0xE9, 0x1ED9, 0x2014, 0x20AC))
+
+
+def test_quick_check_is_the_property():
+    """Against the definition: canonical by itself, and no character before it makes it change."""
+    rng = random.Random(2)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and ud.category(chr(c)) not in ("Cn", "Co")]
+    for c in [*rng.sample(codes, 20_000), *range(0x20, 0x3100)]:
+        ch = chr(c)
+        if L.is_stable(ch):
+            assert L.canonical_segment(ch) == ch and ud.is_normalized("NFC", ch) and not ud.combining(ch), hex(c)
+            assert all(L.canonical_segment(b + ch) == L.canonical_segment(b) + ch for b in "ae\u0915\u1100\uac00\u0b47\u3046"), hex(c)
+    assert all(map(L.is_stable, "жшщяыюλπδφغمنשקकखฉ中文字かな가힣"))
+
+
+def test_other_alphabets_are_spliced():
+    text = "Быстрый λόγος غمن 中文 " * 50
+    assert max((b - a for a, b in (m.span() for m in L._runs().finditer(text))), default=0) <= 3
+    every = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(3)
+    for _ in range(20_000):
+        t = "".join(rng.choices(every, k=5))
+        assert L.canonical(t) == L.canonical_segment(t)
+
+
+def test_capitals_of_other_alphabets():
+    assert L.canonical("ꓐꓳꓳꓗ") == "BOOK" and L.canonical("𐐄") == "O" and L.canonical("ⲞⲢⲈ") != ""
 
 
 def test_what_is_visible_and_what_is_not():
