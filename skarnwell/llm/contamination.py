@@ -24,6 +24,7 @@ WORD = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>\n]{0,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,5});|(?<=\])\([^()\s]{1,500}\)", re.DOTALL)
 SHARD_WORDS = 1 << 20
 OTHER = 0
+PAIRS_AT_ONCE = 1 << 20  # matches spelt out at once, before the best of each document and item are kept
 
 
 def words(text: str) -> list[str]:
@@ -119,39 +120,65 @@ def _eligible(ids: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(ids, OTHER)[at], at
 
 
-def find_in_shard(ids: np.ndarray, test: TestWords, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches of at least min_words words: place in ids, place in test.ids, length; each as long as it goes, not extended to the left."""
-    none = np.zeros(0, np.int64)
+def find_in_shard(ids: np.ndarray, test: TestWords, min_words: int, at_once: int = PAIRS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Matches of at least min_words words, in blocks: place in ids, place in test.ids, length; each as long as it goes.
+
+    Only matches that cannot be made longer to the left are spelt out: training suffixes that begin alike are ordered by the word before them,
+    so that those with the word that stands before the test suffix too are one interval, which is left out. A text that repeats one word
+    thus gives as many matches as it has words, not their product with the words of the item.
+    """
     hay, at = _eligible(ids, min_words)
     if not len(hay) or not len(test.suffixes):
-        return none, none, none
+        return
     order = suffix_array(hay, min_words)
     lo, hi = (_bound(hay, order, test, min_words, u) for u in (False, True))
-    count = hi - lo
-    which = np.repeat(np.arange(len(lo)), count)
-    if not len(which):
-        return none, none, none
-    inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    place, start = order[lo[which] + inside], test.suffixes[which]
-    length = np.full(len(which), min_words, np.int64)
-    live = np.arange(len(which))
-    while len(live):
-        a, b = place[live] + length[live], start[live] + length[live]
-        same = (a < len(hay)) & (b < len(test.ids))
-        same[same] = (hay[a[same]] == test.ids[b[same]]) & (hay[a[same]] != OTHER)
-        live = live[same]
-        length[live] += 1
-    return at[place], start, length
+    suffixes = test.suffixes[hi > lo]
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    if not len(lo):
+        return
+    edge = np.zeros(len(order) + 1, np.int64)
+    edge[lo] = edge[hi] = 1
+    alike = np.cumsum(edge[:-1])
+    before = np.where(order > 0, hay[order - 1], OTHER)
+    key = alike * (len(test.vocabulary) + 1) + before
+    k = np.argsort(key, kind="stable")
+    order, key = order[k], key[k]
+    same = alike[lo] * (len(test.vocabulary) + 1) + np.where(suffixes > 0, test.ids[suffixes - 1], OTHER)
+    skip_lo, skip_hi = np.searchsorted(key, same, "left"), np.searchsorted(key, same, "right")
+    begins = (suffixes == 0) | (test.ids[suffixes - 1] == OTHER)  # nothing stands before the first word of an item
+    skip_lo[begins] = skip_hi[begins] = lo[begins]
+    first, last, start = np.concatenate([lo, skip_hi]), np.concatenate([skip_lo, hi]), np.concatenate([suffixes, suffixes])
+    first, last, start = (x[first < last] for x in (first, last, start))
+    total = np.cumsum(last - first)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + at_once, "right")))
+        count = (last - first)[a:b]
+        which = np.repeat(np.arange(a, b), count)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        place, begin = order[first[which] + inside], start[which]
+        length = np.full(len(which), min_words, np.int64)
+        live = np.arange(len(which))
+        while len(live):
+            x, y = place[live] + length[live], begin[live] + length[live]
+            more = (x < len(hay)) & (y < len(test.ids))
+            more[more] = (hay[x[more]] == test.ids[y[more]]) & (hay[x[more]] != OTHER)
+            live = live[more]
+            length[live] += 1
+        yield at[place], begin, length
+        a = b
 
 
 def _search(batches: Iterator[pd.DataFrame], test: TestWords, min_words: int) -> Iterator[pd.DataFrame]:
     def flush(docs: list, parts: list) -> pd.DataFrame:
         ids = np.concatenate(parts)
         begin = np.cumsum([0, *map(len, parts)])
-        place, start, length = find_in_shard(ids, test, min_words)
-        doc = np.searchsorted(begin, place, side="right") - 1
-        out = pd.DataFrame({"doc": np.array(docs, dtype=np.int64)[doc], "item": test.item[start], "words": length, "doc_word": place - begin[doc], "item_word": test.offset[start]})
-        return out.sort_values(["doc", "item", "words", "doc_word", "item_word"], ascending=[True, True, False, True, True]).drop_duplicates(["doc", "item"])
+        best = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "item", "words", "doc_word", "item_word")})
+        for place, start, length in find_in_shard(ids, test, min_words):
+            doc = np.searchsorted(begin, place, side="right") - 1
+            new = pd.DataFrame({"doc": np.array(docs, dtype=np.int64)[doc], "item": test.item[start], "words": length, "doc_word": place - begin[doc], "item_word": test.offset[start]})
+            best = pd.concat([best, new]).sort_values(["doc", "item", "words", "doc_word", "item_word"], ascending=[True, True, False, True, True]).drop_duplicates(["doc", "item"])
+        return best
 
     docs, parts, size = [], [], 0
     get = test.vocabulary.get

@@ -30,6 +30,20 @@ def test_longest_matches_against_brute_force(docs, items):
     assert got == want
 
 
+def test_blocks_of_matches_give_the_same_as_one():
+    rng = random.Random(5)
+    test = C.TestWords.of([(k, " ".join(rng.choices("ab", k=20))) for k in range(4)], 3)
+    ids = np.array([rng.randrange(0, 3) for _ in range(500)])
+    one, many = ([x for part in C.find_in_shard(ids, test, 3, n) for x in zip(*part, strict=True)] for n in (1 << 20, 7))
+    assert one == many and one
+
+
+def test_repeated_words_do_not_multiply():
+    test = C.TestWords.of([(1, "a " * 200)], 13)
+    found = list(C.find_in_shard(np.ones(40_000, np.int64), test, 13))
+    assert sum(len(p) for p, _, _ in found) < 41_000 and max(n.max() for _, _, n in found) == 200
+
+
 def test_suffix_array():
     rng = random.Random(1)
     ids = np.array([rng.randrange(1, 4) for _ in range(300)])
