@@ -38,7 +38,10 @@ def test_whole_chats_only(spark, tmp_path):
     path = str(tmp_path / "messages.parquet")
     write(spark, path, rows[:12])
     write(spark, path, rows[12:])
-    assert found(C.rebuild(spark, path)) == {1: [8, 10, 9, 11, 12], 7: [70, 71], 12: [120, 121], 13: [130, 131]}
+    want = {1: [8, 10, 9, 11, 12], 7: [70, 71], 12: [120, 121], 13: [130, 131]}
+    assert found(C.rebuild(spark, path)) == want
+    assert found(C.rebuild(spark, path, hot_messages=1)) == want  # as hot chats, in segments
+    assert found(C.rebuild(spark, path, hot_messages=3)) == want  # some hot, some not
 
 
 def test_one_file_and_empty_table(spark, tmp_path):
@@ -51,17 +54,18 @@ def test_one_file_and_empty_table(spark, tmp_path):
     assert C.rebuild(spark, empty).count() == 0
 
 
-def test_late_arrivals_across_batches(spark, tmp_path):
-    """A message that comes in a later micro-batch finds its place while its segment is open; the segment is emitted when the watermark passes it."""
+def test_late_arrivals_and_timeouts_across_batches(spark, tmp_path):
+    """A message that comes in a later micro-batch finds its place while its chat is open; the chat is emitted when it was inactive for long enough."""
     src = str(tmp_path / "in")
-    run = lambda: C.segments(spark.readStream.schema(SCHEMA).parquet(src + "/*"), "1 day").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    day = 86400.0
+    run = lambda: C.conversations(spark.readStream.schema(SCHEMA).parquet(src + "/*"), "1 day", 7200, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    emitted = lambda: found(C.assemble(spark.read.schema(C.SEGMENT_SCHEMA).parquet(str(tmp_path / "out"))))
+    day, hour = 86400.0, 3600.0
     write(spark, src + "/0", [(1, 2, "ai", "b", 20.0)])
     run()
-    write(spark, src + "/1", [(1, 1, "user", "a", 10.0), (2, 5, "user", "x", 9 * day)])
+    assert emitted() == {}
+    write(spark, src + "/1", [(1, 1, "user", "a", 10.0), (4, 8, "user", "open", 9 * day - hour), (4, 9, "ai", "soon", 9 * day + hour), (2, 5, "user", "x", 10 * day)])
     run()
-    closed = spark.read.schema(C.SEGMENT_SCHEMA).parquet(str(tmp_path / "out"))
-    assert found(C.assemble(closed)) == {1: [1, 2]}
-    write(spark, src + "/2", [(1, 3, "user", "too late", 30.0), (2, 6, "ai", "y", 9 * day + 1), (3, 7, "user", "z", 30 * day)])
+    assert emitted() == {1: [1, 2]}  # chat 4 was active within two hours of the watermark
+    write(spark, src + "/2", [(1, 3, "user", "too late", 30.0), (2, 6, "ai", "y", 10 * day + 1), (5, 10, "user", "no reply", 10 * day), (3, 7, "user", "z", 30 * day)])
     run()
-    assert found(C.assemble(spark.read.schema(C.SEGMENT_SCHEMA).parquet(str(tmp_path / "out")))) == {1: [1, 2], 2: [5, 6]}
+    assert emitted() == {1: [1, 2], 2: [5, 6], 4: [8, 9]}
