@@ -24,6 +24,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the tokenizer's rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_ITEMS, ISLANDS, EPOCHS = 4000, 3, 2
+MOST_TASKS = 20_000
 MOST_HARM = 1  # full containers that an injected one may break
 POPULATION, OFFSPRING, INJECTED, MUTATED, REFILLS = 6, 60, 0.3, 4, 8
 
@@ -257,8 +258,10 @@ def _packed(sizes: DataFrame, key: str, size: str, capacity: int, block_items: i
     isles = rest.withColumn("island", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ISLANDS - 1).cast("long"))))
     schema = "block long, island long, used long, fitness double, bins binary, best_fit long"
     pop = sizes.sparkSession.createDataFrame([], schema)
+    tasks = min(blocks * ISLANDS, MOST_TASKS)  # a block is little data but much work, so partitions are not merged by size
+    isles = isles.repartition(tasks, "block", "island")
     for epoch in range(EPOCHS):
-        both = isles.groupBy("block", "island").cogroup(pop.groupBy("block", "island"))
+        both = isles.groupBy("block", "island").cogroup(pop.repartition(tasks, "block", "island").groupBy("block", "island"))
         pop = checkpointed(both.applyInPandas(_epoch(capacity, epoch), schema))
     best = pop.groupBy("block").agg(F.min(F.struct("used", -F.col("fitness"), "bins", "best_fit")).alias("best")).select("block", "best.used", "best.bins", "best.best_fit")
     return full, rest, best
