@@ -3,7 +3,8 @@
 The trees are fitted on a bounded sample and every vector is indexed. A vector lies in one leaf of each
 tree; its search goes down all trees at once and visits the leaves that are cheapest to reach, chosen
 over all trees by one priority queue. In a leaf, one-byte codes of the vectors select candidates, which
-are then ranked by the exact cosine of the stored vectors.
+are then ranked by the exact cosine of the stored vectors. A leaf that holds far more vectors than it was meant
+to, because the sample could not tell more leaves apart, is divided by a forest of its own in the task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarnwell.durable import checkpointed
@@ -25,6 +26,7 @@ LEAF_ROWS = 2048  # vectors meant to lie in one leaf
 CODE_ERROR = 0.01  # ten standard deviations of what one-byte codes change a cosine by
 PROBES = 12  # leaves that a vector visits at least
 MISSED = 0.01  # share of the neighbours within the sample that may lie in leaves not visited
+SPLIT = 4  # times its meant size from which a leaf is divided in its task
 WIDE = 64  # of more candidates than this that codes can't tell apart, the stored vectors decide in the leaf
 
 
@@ -137,6 +139,11 @@ def _leaf(tree: Tree, x: np.ndarray) -> np.ndarray:
     return node
 
 
+def _own_leaves(forest: list[Tree], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    leaf = np.stack([_leaf(tree, x) + (t << 40) for t, tree in enumerate(forest)], axis=1)
+    return leaf, np.ones(leaf.shape, bool)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
@@ -155,7 +162,7 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(v):
             # plus zero, so that both zeros are one
             raw = [r.tobytes() for r in unit(v.astype(np.float64)) + np.float32(0)]
-            yield pd.DataFrame({"key": pdf["key"].to_numpy()[good], "class": [xxhash.xxh3_128_digest(r) for r in raw], "vector": list(v)})
+            yield pd.DataFrame({"key": pdf["key"].to_numpy()[good], "asks": pdf["asks"].to_numpy()[good], "class": [xxhash.xxh3_128_digest(r) for r in raw], "vector": list(v)})
 
 
 def _block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,34 +184,26 @@ def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: np.ndarr
             v = np.stack(batch["vector"].to_numpy()).astype(np.float32)
             x = unit(v.astype(np.float64))
             names = batch["class"].to_numpy()
+            asks = batch["asks"].to_numpy(bool)
             code = np.array([c.tobytes() for c in (codes(x) if only is None else v)], dtype=object)
-            wanted = probes[(_leaf(forest[0], x) >> down) - len(probes)]
+            wanted = np.where(asks, probes[(_leaf(forest[0], x) >> down) - len(probes)], 0)  # others lie in their own leaves only
             for most in np.unique(wanted):
                 alike = np.flatnonzero(wanted == most)
-                step = max(16, 2048 * PROBES // int(most))
+                step = max(16, 2048 * PROBES // max(1, int(most)))
                 for a in range(0, len(alike), step):
                     part = alike[a : a + step]
-                    leaf, own = search_leaves(forest, x[part], int(most))
+                    leaf, own = search_leaves(forest, x[part], int(most)) if most else _own_leaves(forest, x[part])
                     rows = np.repeat(part, leaf.shape[1])
                     keep = slice(None) if only is None else np.isin(leaf.ravel(), only)
-                    yield pd.DataFrame({"leaf": leaf.ravel()[keep], "own": own.ravel()[keep], "class": names[rows[keep]], "code": code[rows[keep]]})
-
+                    yield pd.DataFrame({"leaf": leaf.ravel()[keep], "own": own.ravel()[keep], "asks": asks[rows[keep]], "class": names[rows[keep]], "code": code[rows[keep]]})
 
-def _candidates(pdf: pd.DataFrame, k: int, least: float | None, exact: bool = False) -> pd.DataFrame:
-    """Pairs (a, b) of one leaf: for each vector that visits it, the k best that lie in it and all that may be as good.
 
-    A vector with more than WIDE of them gets one row (leaf, a, null) instead, but for exact, where code is the stored vector.
-    """
-    own = pdf["own"].to_numpy()
-    names = pdf["class"].to_numpy()
-    c = np.frombuffer(b"".join(pdf["code"]), dtype=np.float32 if exact else np.int8).reshape(len(pdf), -1).astype(np.float64 if exact else np.float32)
-    c /= np.linalg.norm(c, axis=1, keepdims=True)
-    error = 1e-12 if exact else CODE_ERROR
-    at = np.flatnonzero(own)
+def _near(c: np.ndarray, who: np.ndarray, at: np.ndarray, k: int, least: float | None, error: float, most: int | None) -> tuple[list, list, list]:
+    """For each of the rows `who`, the rows of `at` that are among its k best or may be, as (left, right); and the rows with more than `most` of them."""
     left, right, wide = [], [], []
-    for a in range(0, len(c) if len(at) else 0, 1024):
-        s = c[a : a + 1024] @ c[at].T
-        rows = np.arange(a, a + len(s))
+    for a in range(0, len(who) if len(at) else 0, 1024):
+        rows = who[a : a + 1024]
+        s = c[rows] @ c[at].T
         n = np.searchsorted(at, rows)
         itself = (n < len(at)) & (at[np.minimum(n, len(at) - 1)] == rows)
         s[np.flatnonzero(itself), n[itself]] = -2
@@ -214,22 +213,67 @@ def _candidates(pdf: pd.DataFrame, k: int, least: float | None, exact: bool = Fa
             if len(full):
                 bar[full] = np.maximum(bar[full], np.partition(s[full], -k, axis=1)[:, -k] - error)
         good = s >= bar[:, None]
-        many = good.sum(1) > (s.shape[1] if exact else WIDE)
+        many = good.sum(1) > (s.shape[1] if most is None else most)
         wide.append(rows[many])
         good[many] = False
         i, j = np.nonzero(good)
         left.append(rows[i])
         right.append(at[j])
+    return left, right, wide
+
+
+def _divided(c: np.ndarray, who: np.ndarray, at: np.ndarray, k: int, least: float | None, leaf_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(who, at) for the parts of a leaf that is too large: a forest fitted on a sample of its vectors, visited as the forest above it is."""
+    rng = np.random.default_rng(len(at))
+    x = c[rng.choice(at, min(len(at), SAMPLE_ROWS), replace=False)].astype(np.float32)
+    depth = 0
+    while len(at) >> depth > leaf_rows and len(x) >> depth > 8:
+        depth += 1
+    forest = [fit_tree(x, depth, seed) for seed in range(3)]
+    visits = probes_needed(forest, x, max(1, math.ceil(k * len(x) / len(at))), least)
+    level = int(len(visits)).bit_length() - 1
+    own, _ = _own_leaves(forest, c[at].astype(np.float32))
+    wanted = visits[(_leaf(forest[0], c[who].astype(np.float32)) >> (depth - level)) - len(visits)]
+    parts: dict[int, list[np.ndarray]] = {}
+    for most in np.unique(wanted):
+        alike = who[wanted == most]
+        for a in range(0, len(alike), 2048):
+            leaf, _ = search_leaves(forest, c[alike[a : a + 2048]].astype(np.float32), int(most))
+            order = np.argsort(leaf.ravel(), kind="stable")
+            names, start = np.unique(leaf.ravel()[order], return_index=True)
+            for name, rows in zip(names, np.split(np.repeat(alike[a : a + 2048], leaf.shape[1])[order], start[1:]), strict=True):
+                parts.setdefault(int(name), []).append(rows)
+    order = np.argsort(own.ravel(), kind="stable")
+    names, start = np.unique(own.ravel()[order], return_index=True)
+    for name, rows in zip(names, np.split(np.repeat(at, own.shape[1])[order], start[1:]), strict=True):
+        if int(name) in parts:
+            yield np.sort(np.concatenate(parts[int(name)])), np.sort(rows)
+
+
+def _candidates(pdf: pd.DataFrame, k: int, least: float | None, exact: bool = False, leaf_rows: int = LEAF_ROWS) -> pd.DataFrame:
+    """Pairs (a, b) of one leaf: for each vector that asks there, the k best that lie in it and all that may be as good.
+
+    A vector with more than WIDE of them gets one row (leaf, a, null) instead, but for exact, where code is the stored vector.
+    """
+    names = pdf["class"].to_numpy()
+    c = np.frombuffer(b"".join(pdf["code"]), dtype=np.float32 if exact else np.int8).reshape(len(pdf), -1).astype(np.float64 if exact else np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    at, who = np.flatnonzero(pdf["own"]), np.flatnonzero(pdf["asks"])
+    parts = _divided(c, who, at, k, least, leaf_rows) if len(at) > SPLIT * leaf_rows and len(who) else [(who, at)]
+    left, right, wide = [], [], []
+    for some, there in parts:
+        x, y, z = _near(c, some, there, k, least, 1e-12 if exact else CODE_ERROR, None if exact else WIDE)
+        left, right, wide = left + x, right + y, wide + z
     if not left:
         return pd.DataFrame({"leaf": [], "a": [], "b": []})
     a, b = names[np.concatenate(left)], names[np.concatenate(right)]
     pairs = {(x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True) if x != y}
     leaf = int(pdf["leaf"].iloc[0])
-    found = [(None, x, y) for x, y in sorted(pairs)] + [(leaf, x, None) for x in names[np.concatenate(wide)]]
+    found = [(None, x, y) for x, y in sorted(pairs)] + [(leaf, x, None) for x in sorted(set(names[np.concatenate(wide)]))]
     return pd.DataFrame({"leaf": pd.array([r[0] for r in found], dtype="Int64"), "a": [r[1] for r in found], "b": [r[2] for r in found]})
 
 
-def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 10, min_cosine: float | None = None, trees: int = 3, probes: int | None = None, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 10, min_cosine: float | None = None, trees: int = 3, probes: int | None = None, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, asked: Column | None = None) -> DataFrame:
     """(key, other, cosine, rank): the k most similar vectors of every vector, rank 1 first; of equally similar ones
     the smaller key (as string) first. With min_cosine, of those at least that similar.
 
@@ -238,11 +282,12 @@ def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 1
     Equal directions form a class that is indexed once, so that copies cannot fill a leaf; every copy gets its rows.
     Approximate: vectors visit as many leaves as their region of the sample needs to meet 0.99 of its neighbours there,
     12 at least, or `probes` if given. Where neighbours are not near, that is a large part of the leaves.
+    With `asked`, a condition on the rows, only vectors of such rows are searched for; all others are still found.
     """
-    rows = vectors.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("vector")).filter(f"key is not null and size(vector) = {int(dim)} and not exists(vector, x -> x is null)")
-    ready = rows.mapInPandas(_prepare, "key string, class binary, vector array<float>")
+    rows = vectors.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("vector"), (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asks")).filter(f"key is not null and size(vector) = {int(dim)} and not exists(vector, x -> x is null)")
+    ready = rows.mapInPandas(_prepare, "key string, asks boolean, class binary, vector array<float>")
     ready = checkpointed(ready)
-    members = ready.groupBy("key").agg(F.min("class").alias("class"))
+    members = ready.groupBy("key").agg(F.min("class").alias("class"), F.max("asks").alias("asks"))
     count = vectors.count()
     share = min(1.0, 0.9 * sample_rows / max(1, count))
     sample = ready.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").limit(sample_rows)
@@ -255,16 +300,17 @@ def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 1
     # of the k nearest of all, about this many are in the sample
     near = max(1, math.ceil(k * len(x) / max(1, count)))
     visits = np.array([probes], np.int64) if probes else probes_needed(forest, x, min(k, near), min_cosine) if depth else np.array([PROBES], np.int64)
-    classes = ready.groupBy("class").agg(F.first("vector").alias("vector"))
-    nodes = classes.mapInPandas(lambda it: _route(it, forest, visits), "leaf long, own boolean, class binary, code binary")
-    found = checkpointed(nodes.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine), "leaf long, a binary, b binary").distinct())
+    classes = ready.groupBy("class").agg(F.first("vector").alias("vector"), F.max("asks").alias("asks"))
+    routed = "leaf long, own boolean, asks boolean, class binary, code binary"
+    nodes = classes.mapInPandas(lambda it: _route(it, forest, visits), routed)
+    found = checkpointed(nodes.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine, leaf_rows=leaf_rows), "leaf long, a binary, b binary").distinct())
     pairs = found.filter("b is not null").select("a", "b")
-    dense = found.filter("b is null").select("leaf", F.col("a").alias("class"), F.lit(True).alias("asks"))
+    dense = found.filter("b is null").select("leaf", F.col("a").alias("class"), F.lit(True).alias("wide"))
     only = np.array([r.leaf for r in dense.select("leaf").distinct().collect()], np.int64)
     if len(only):
-        stored = classes.mapInPandas(lambda it: _route(it, forest, visits, only), "leaf long, own boolean, class binary, code binary")
-        stored = stored.join(dense, ["leaf", "class"], "left").filter("own or asks").drop("asks")
-        more = stored.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine, exact=True), "leaf long, a binary, b binary")
+        stored = classes.mapInPandas(lambda it: _route(it, forest, visits, only), routed)
+        stored = stored.join(dense, ["leaf", "class"], "left").withColumn("asks", F.coalesce("wide", F.lit(False))).filter("own or asks").drop("wide")
+        more = stored.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine, exact=True, leaf_rows=leaf_rows), "leaf long, a binary, b binary")
         pairs = checkpointed(pairs.unionByName(more.select("a", "b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     exact = checkpointed(ready.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("vector").alias("vector")))
@@ -278,12 +324,12 @@ def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 1
         scored = scored.filter(F.col("cosine") >= min_cosine)
     scored = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     # only the first k + 1 copies of a class can be among the k best of any vector
-    first = members.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("key"))).filter(F.col("nth") <= k + 1)
+    first = members.drop("asks").withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("key"))).filter(F.col("nth") <= k + 1)
     copied = first.filter("nth = 2").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("cosine"))
     near = scored.unionByName(copied).join(first.select(F.col("class").alias("b"), F.col("key").alias("other")), "b")
     order = [F.desc("cosine"), F.asc("other")]
     near = near.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(*order))).filter(F.col("nth") <= k + 1)
-    spelt = members.join(near.select(F.col("a").alias("class"), "other", "cosine"), "class").filter("key != other")
+    spelt = members.filter("asks").drop("asks").join(near.select(F.col("a").alias("class"), "other", "cosine"), "class").filter("key != other")
     return spelt.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("rank") <= k).select("key", "other", "cosine", F.col("rank").cast("long").alias("rank"))
 
 

@@ -79,6 +79,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar vectors of the same table for every row whose id is divisible by 20 (of keys that are text: a hash of it), searched among all rows."""
+    found = None
+    for table, key in VECTORS.items():
+        number = F.conv(F.substring(F.md5("cache_key"), 1, 8), 16, 10).cast("long") if key == "cache_key" else F.col(key)
+        similar = neighbours.most_similar(_read(spark, d, table), key, "embedding", dim=64, k=10, asked=number % 20 == 0)
+        part = similar.select(F.lit(table).alias("tab"), "key", "other", F.round("cosine", 6).alias("cosine"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 CONTAINER_TOKENS = 2048
 
 
@@ -113,4 +124,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p6_containers, p6_savings, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_neighbours, p6_containers, p6_savings, p7_found, p8_found, p8_rates)}

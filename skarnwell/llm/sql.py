@@ -25,5 +25,17 @@ SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, id)
 """
 
 
+def _neighbours(tab: str, key: str, number: str) -> str:
+    ok = "len({0}.embedding) = 64 AND list_sum(list_transform({0}.embedding, lambda x: abs(x))) > 0"
+    return f"""SELECT '{tab}' AS tab, key, other, round(cosine, 6) AS cosine FROM (
+  SELECT q.{key}::VARCHAR AS key, v.{key}::VARCHAR AS other, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS cosine,
+    row_number() OVER (PARTITION BY q.{key} ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.{key}::VARCHAR) AS n
+  FROM (SELECT DISTINCT ON ({key}) {key}, embedding FROM {tab} WHERE {ok.format(tab)}) q JOIN (SELECT DISTINCT ON ({key}) {key}, embedding FROM {tab} WHERE {ok.format(tab)}) v ON q.{key} <> v.{key} AND {number} % 20 = 0
+) WHERE n <= 10"""
+
+
+P5_NEIGHBOURS = "\nUNION ALL\n".join([_neighbours("chunks", "id", "q.id"), _neighbours("memories", "id", "q.id"), _neighbours("answer_cache", "cache_key", "('0x' || substr(md5(q.cache_key), 1, 8))::UBIGINT")])
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p5_neighbours": P5_NEIGHBOURS}

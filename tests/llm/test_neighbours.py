@@ -87,3 +87,26 @@ def test_recall_in_a_cluster_with_a_third_of_the_rows(spark):
     want = {k: v for k, v in brute(keys, x.astype(np.float64), 10, 0.9).items() if v}
     hit, total = sum(len(v & got.get(k, set())) for k, v in want.items()), sum(map(len, want.values()))
     assert len(want) > 1400 and hit >= 0.98 * total
+
+
+def test_leaves_beyond_the_sample_are_divided(spark):
+    """A sample of 200 vectors gives 32 leaves of 250; meant are 32 vectors, so every leaf gets a forest of its own."""
+    keys, x = data(8000, 64, 8)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x)], "key string, v array<float>")
+    got = {}
+    for r in N.most_similar(df, "key", "v", 64, k=10, min_cosine=0.9, sample_rows=200, leaf_rows=32).collect():
+        got.setdefault(r.key, set()).add(r.other)
+    want = {k: v for k, v in brute(keys, x.astype(np.float64), 10, 0.9).items() if v}
+    assert len(want) > 2000 and sum(len(v & got.get(k, set())) for k, v in want.items()) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_a_stated_query_set(spark):
+    from pyspark.sql import functions as F
+
+    keys, x = data(1500, 64, 3)
+    df = spark.createDataFrame([(k, v.tolist(), i) for i, (k, v) in enumerate(zip(keys, x))], "key string, v array<float>, asks int")
+    got = {}
+    for r in N.most_similar(df, "key", "v", 64, k=10, leaf_rows=128, asked=F.col("asks") % 20 == 0).collect():
+        got.setdefault(r.key, set()).add(r.other)
+    want = {k: v for k, v in brute(keys, x.astype(np.float64), 10, -1).items() if int(k[1:]) % 20 == 0}
+    assert got.keys() == want.keys() and sum(len(v & got[k]) for k, v in want.items()) >= 0.95 * 10 * len(want)

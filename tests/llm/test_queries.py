@@ -9,7 +9,7 @@ from tests.conftest import DATA
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("chunks", "parents", "messages"):
+    for t in ("chunks", "parents", "messages", "memories", "answer_cache"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = queries.queries()[name](spark, str(DATA))
     want = c.execute(sql.oracle_sql()[name]).fetchdf()
