@@ -28,7 +28,9 @@ WORD = re.compile(r"\w+")
 COORDINATES, SKETCH_WORDS = 32, 8  # 8-bit minwise values for a tree; 64-bit words of one-bit minwise sketch
 TREES, LEAF = 8, 48
 DEPTH = 5  # levels of a tree; what is still together is compared by sketch, since deeper nodes lose similar classes
-TOP_SHARE, TOP_ROWS = 0.02, 20_000  # a coordinate leaves at most about this share of the classes together; rows of a node that one task takes
+TOP_SHARE, TOP_ROWS = 0.02, 20_000  # a coordinate leaves about this share of the classes together; rows of a node that are meant for one task
+HOT_ROWS, SAMPLED = 8 * TOP_ROWS, 64  # a node with more rows branches again before the shuffle; one class in so many is counted to find such nodes
+ROW_BYTES, TASK_BYTES = 160, 32 << 20
 
 _M1, _M2, _GOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,7 +128,8 @@ def children(nodes: np.ndarray, coords: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([rows, rows[two]]), np.concatenate([a, b])
 
 
-def _branch(batches: Iterator[pd.DataFrame], trees: int, levels: int) -> Iterator[pd.DataFrame]:
+def _branch(batches: Iterator[pd.DataFrame], trees: int, levels: int, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows at the nodes `levels` deep, and deeper below nodes that are hot (sorted)."""
     for pdf in batches:
         if not len(pdf):
             continue
@@ -138,18 +141,38 @@ def _branch(batches: Iterator[pd.DataFrame], trees: int, levels: int) -> Iterato
             for _ in range(levels):
                 k, nodes = children(nodes, own[rows])
                 rows = rows[k]
+            depth = np.full(len(rows), levels)
+            while len(hot) and (down := np.isin(nodes, hot)).any():
+                k, below = children(nodes[down], own[rows[down]])
+                rows, depth = np.concatenate([rows[~down], rows[down][k]]), np.concatenate([depth[~down], depth[down][k] + 1])
+                nodes = np.concatenate([nodes[~down], below])
             out = pdf.iloc[rows].copy()
             out["coords"] = np.array([r.tobytes() for r in own], dtype=object)[rows]
+            out.insert(0, "depth", depth)
             out.insert(0, "node", nodes.view(np.int64))
             yield out
 
 
+def _hot_nodes(sketched: DataFrame, trees: int, levels: int, hot_rows: int) -> np.ndarray:
+    """Nodes that more than about hot_rows rows would come to, counted on a sample by hash; level by level, since children of hot nodes may be hot. Their number is bounded by rows / hot_rows."""
+    sample = sketched.filter(F.pmod(F.xxhash64("bag"), F.lit(SAMPLED)) == 0).dropDuplicates(["bag"]).select("bag", "coords")
+    hot = np.zeros(0, np.uint64)
+    for _ in range(levels, DEPTH - 1):
+        at = sample.mapInPandas(lambda it, hot=hot: _branch(it, trees, levels, hot), "node long, depth long, bag binary, coords binary")
+        more = [r.node for r in at.filter(F.col("depth") < DEPTH - 1).groupBy("node").count().filter(F.col("count") * SAMPLED > hot_rows).select("node").collect()]
+        if not more:
+            break
+        hot = np.union1d(hot, np.array(more, np.int64).view(np.uint64))
+    return hot
+
+
 class Node:
     """Classes that met in a node, sorted by it, and the search below."""
 
     def __init__(self, pdf: pd.DataFrame, agree: float, ratio: float):
         self.node = pdf["node"].to_numpy().view(np.uint64)
         self.n = pdf["n"].to_numpy()
+        self.depth = pdf["depth"].to_numpy()
         self.doc = pdf["doc"].to_numpy()
         self.coords = np.frombuffer(b"".join(pdf["coords"]), dtype=np.uint8).reshape(len(pdf), -1)
         self.sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(len(pdf), -1)
@@ -188,28 +211,27 @@ class Node:
                     yield self.taken()
             shift += 1
 
-    def search(self, levels: int = DEPTH) -> Iterator[np.ndarray]:
-        """Pairs of rows, in blocks that are distinct each."""
-        node, order = self.node, np.arange(len(self.node))
-        for depth in range(levels + 1):
+    def search(self, depth: int = DEPTH) -> Iterator[np.ndarray]:
+        """Pairs of rows, in blocks that are distinct each; nodes branch down to `depth` levels."""
+        node, order, left = self.node, np.arange(len(self.node)), depth - self.depth
+        while len(node):
             s = np.argsort(node, kind="stable")
-            node, order = node[s], order[s]
+            node, order, left = node[s], order[s], left[s]
             edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
             size = np.repeat(np.diff(edge), np.diff(edge))
-            small = (size <= LEAF) if depth < levels else size > 0
+            small = (size <= LEAF) | (left <= 0)
             yield from self.exhaust(node[small & (size > 1)], order[small & (size > 1)])
-            node, order = node[~small], order[~small]
-            if not len(node):
-                break
-            k, node = children(node, self.coords[order])
-            order = order[k]
+            node, order, left = node[~small], order[~small], left[~small] - 1
+            if len(node):
+                k, node = children(node, self.coords[order])
+                order, left = order[k], left[k]
         yield self.taken()
 
 
-def _compare(batches: Iterator[pd.DataFrame], agree: float, ratio: float, levels: int = DEPTH) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], agree: float, ratio: float, depth: int = DEPTH) -> Iterator[pd.DataFrame]:
     def flush(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         bag = pdf["bag"].to_numpy(dtype=object)
-        for a, b in Node(pdf, agree, ratio).search(levels):
+        for a, b in Node(pdf, agree, ratio).search(depth):
             pairs = {(x, y) if x < y else (y, x) for x, y in zip(bag[a], bag[b], strict=True) if x != y}
             yield pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
@@ -228,7 +250,7 @@ def _compare(batches: Iterator[pd.DataFrame], agree: float, ratio: float, levels
         yield from flush(pd.concat(held))
 
 
-def similar_classes(texts: DataFrame, key: str, group: str, text: str, threshold: float = 0.8, min_words: int = 60, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+def similar_classes(texts: DataFrame, key: str, group: str, text: str, threshold: float = 0.8, min_words: int = 60, trees: int = TREES, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): the class of every text, and the pairs of similar classes.
 
     members: id, doc, class - one row per text with at least min_words words (repeated rows once).
@@ -244,16 +266,20 @@ def similar_classes(texts: DataFrame, key: str, group: str, text: str, threshold
     members = sketched.select("id", "doc", F.col("bag").alias("class")).distinct()
     same = F.when(F.min("doc") == F.max("doc"), F.min("doc")).otherwise(F.lit(-1))
     classes = sketched.groupBy("bag").agg(same.alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("coords").alias("coords"))
-    levels, left = 1, texts.count() * TOP_SHARE
-    while left > TOP_ROWS:
+    count = texts.count()
+    levels, left = 1, count * TOP_SHARE
+    while left > TOP_ROWS and levels < DEPTH - 1:
         levels, left = levels + 1, left * TOP_SHARE
+    hot = _hot_nodes(sketched, trees, levels, hot_rows)
+    # as many partitions as keep a task's share the same at every size
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) if count > TOP_ROWS else 1, int(count * trees * 1.5**levels * ROW_BYTES / TASK_BYTES))
     # of two sets of equal size with overlap t their Jaccard similarity is t/(2-t); three standard deviations of the sketch below
     jaccard = threshold / (2 - threshold)
     agree = (1 + jaccard) / 2
     agree -= 3 * (agree * (1 - agree) / (64 * SKETCH_WORDS)) ** 0.5
-    schema = "bag binary, doc long, n int, sketch binary, coords binary"
-    nodes = classes.mapInPandas(lambda it: _branch(it, trees, levels), "node long, " + schema)
-    found = nodes.repartition("node").sortWithinPartitions("node").mapInPandas(lambda it: _compare(it, agree, threshold, max(1, DEPTH - levels)), "a binary, b binary").distinct()
+    schema = "node long, depth long, bag binary, doc long, n int, sketch binary, coords binary"
+    nodes = classes.mapInPandas(lambda it: _branch(it, trees, levels, hot), schema)
+    found = nodes.repartition(parts, "node").sortWithinPartitions("node").mapInPandas(lambda it: _compare(it, agree, threshold), "a binary, b binary").distinct()
     bags = rows.mapInPandas(lambda it: _bags(it, min_words), "bag binary, tokens array<long>")
     found = checkpointed(found)
     wanted = found.select(F.explode(F.array("a", "b")).alias("bag")).distinct()

@@ -88,3 +88,15 @@ def test_large_class_is_spelt_out(spark):
     df = spark.createDataFrame(rows, "id long, doc long, text string")
     found = N.similar_pairs(*N.similar_classes(df, "id", "doc", "text"))
     assert found.count() == 1100 * 1099 // 2 + 1100
+
+
+def test_hot_nodes_branch_before_the_shuffle(spark):
+    """Every node that a sampled class comes to counts as hot: rows go down to the fourth level, some there and some not, and meet as before."""
+    rows = corpus(200, 7)
+    want = brute(rows, 0.8, 60)
+    df = spark.createDataFrame(rows, "id long, doc long, text string")
+    sketched = df.selectExpr("id", "doc", "text").mapInPandas(lambda it: N._sketch(it, 60, N.TREES), "id long, doc long, n int, bag binary, sketch binary, coords binary")
+    hot = N._hot_nodes(sketched, N.TREES, 1, 0)
+    assert len(hot) >= 8
+    got = {tuple(r) for r in N.similar_pairs(*N.similar_classes(df, "id", "doc", "text", hot_rows=0)).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) > 50
