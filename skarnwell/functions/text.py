@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata as ud
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,9 +78,9 @@ def without_front_matter(text: Column) -> Column:
 BLOCK_TAGS = "p|div|li|tr|h[1-6]|table|ul|ol|blockquote|pre|code"
 
 
-def html_to_text(html: Column, strip_scripts: bool = False) -> Column:
-    """Text of HTML: breaks and closing block tags end lines, other tags go, the common entities are decoded, blank runs collapse."""
-    x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "") if strip_scripts else html
+def html_to_text(page: Column, strip_scripts: bool = False) -> Column:
+    """Text of HTML: breaks and closing block tags end lines, other tags go, entities are decoded, blank runs collapse."""
+    x = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>", "") if strip_scripts else page
     x = F.regexp_replace(x, rf"(?i)<br\s*/?>|</(?:{BLOCK_TAGS})\s*>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", "")
     x = unescape(x)
@@ -86,22 +88,30 @@ def html_to_text(html: Column, strip_scripts: bool = False) -> Column:
     return F.trim(F.regexp_replace(F.btrim(x, F.lit("\n ")), r"\n{3,}", "\n\n"))
 
 
-#: Named entities that are decoded without leaving the JVM; `&amp;` comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
+#: Named entities that are decoded without leaving the JVM.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def unescape(text: Column) -> Column:
-    for k, v in ENTITIES.items():
-        text = F.replace(text, F.lit(k), F.lit(v))
-    return text
+    """Text with its character references decoded, named and numeric ones. Texts with the usual few only stay in the JVM."""
+    usual = "|".join(ENTITIES)
+    rare = text.rlike(rf"&(?!(?:{usual.replace('&', '')}))#?[0-9A-Za-z]+")
+    plain = text
+    for k, v in ENTITIES.items():  # &amp; comes last
+        plain = F.replace(plain, F.lit(k), F.lit(v))
+    return F.when(rare, F.pandas_udf(_unescape, "string")(F.when(rare, text))).otherwise(plain)
 
 
-def page_title(html: Column) -> Column:
-    return F.trim(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>\s*(.*?)\s*</title>", 1)))
+def page_title(page: Column) -> Column:
+    return F.trim(unescape(F.regexp_extract(page, r"(?is)<title[^>]*>\s*(.*?)\s*</title>", 1)))
 
 
-def page_links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"']+)["']"""), F.lit(1))
+def page_links(page: Column) -> Column:
+    return F.regexp_extract_all(page, F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"']+)["']"""), F.lit(1))
 
 
 def web_path(url: Column) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarnwell.durable import checkpointed
 from skarnwell.functions import text as T
 from skarnwell.operators.components import connected_components
 from skarnwell.operators.dense import centroids, dense_topk
@@ -20,36 +21,54 @@ def sources(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def roots_rollup(documents: DataFrame, chunks: DataFrame, roots: list[str]) -> DataFrame:
-    """(root, documents, chunks) of the documents at or under each of a few path prefixes; roots without documents have zeros."""
+    """(root, documents, chunks) of the documents at or under each path prefix; roots without documents have zeros.
+
+    A document meets its roots by equi-join of the prefixes of its path that end before a slash, so the number of roots does not matter.
+    """
     spark = documents.sparkSession
     per_doc = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
-    r = spark.createDataFrame([(x,) for x in roots], "root string")
-    under = documents.select("doc_id", "path").join(F.broadcast(r), F.expr("path = root or startswith(path, concat(root, '/'))"))
+    r = spark.createDataFrame([(x,) for x in dict.fromkeys(roots)], "root string")
+    parts = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    under = documents.select("doc_id", F.explode(prefixes).alias("root")).join(r, "root", "left_semi")
     rows = under.join(per_doc, "doc_id", "left").groupBy("root").agg(F.count("*").alias("documents"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("chunks"))
     return r.join(rows, "root", "left").na.fill(0)
 
 
-def document_text(chunks: DataFrame) -> DataFrame:
-    """(doc_id, text): chunks joined by blank lines in order. A growing document's pieces must fit one row; they are ordered inside the aggregate."""
-    rows = chunks.dropDuplicates(["id"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "id", "text"))).alias("pieces"))
-    return rows.select("doc_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "\n\n").alias("text"))
+PART_CHUNKS = 2000
+
+
+def document_text(chunks: DataFrame, part_chunks: int = PART_CHUNKS) -> DataFrame:
+    """(doc_id, part, text): chunks joined by blank lines in order. A part holds the ordinals of one range of part_chunks, so that a document that keeps growing gets more rows, not longer ones."""
+    rows = chunks.dropDuplicates(["id"]).groupBy("doc_id", F.floor(F.col("ordinal") / part_chunks).cast("long").alias("part"))
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct("ordinal", "id", "text"))).alias("pieces"))
+    return rows.select("doc_id", "part", F.array_join(F.transform("pieces", lambda p: p["text"]), "\n\n").alias("text"))
 
 
 def shared_digests(chunks: DataFrame, documents: DataFrame, min_ratio: float = 0.5, min_shared: int = 3) -> DataFrame:
     """(a, b, shared, ratio), a < b: documents that share at least min_shared distinct chunk texts, and min_ratio of those of the one with fewer.
 
-    Digests meet by equi-join. Documents with equal sets of digests form one class first, so that a page copied a million times costs one row;
-    a class is linked as a star to its first document.
+    Documents with equal sets of digests form one class first, so that a page copied a million times costs one row; a class is linked as a star to its
+    first document. Of two documents that share at least t of the n digests of the one with fewer, some shared digest is among the n - t + 1 rarest
+    of that one (prefix filter); so only these are joined with the digests of larger documents, and a line that all documents have
+    meets only documents that consist of such lines. Candidates are counted exactly by joins; no set is collected.
     """
-    d = chunks.join(documents.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("digest")).distinct()
-    per_doc = d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit("x"), "digest")).alias("x"))
+    d = chunks.join(documents.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.xxhash64(F.sha1(F.col("text").cast("binary"))).alias("digest")).distinct()
+    per_doc = d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("digest").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit("x"), "digest")).alias("x")).filter(F.col("n") >= min_shared)
     cls = per_doc.groupBy("n", "h", "x").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     members = per_doc.join(cls, ["n", "h", "x"]).select("doc_id", "rep", "n")
     reps = d.join(cls.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
-    a = reps.select(F.col("doc_id").alias("a"), "digest", F.col("n").alias("na"))
-    b = reps.select(F.col("doc_id").alias("b"), "digest", F.col("n").alias("nb"))
-    pairs = a.join(b, "digest").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = pairs.select("a", "b", "shared", F.least("na", "nb").alias("n"))
+    shared = reps.groupBy("digest").agg(F.count("*").alias("freq")).filter("freq > 1")
+    reps = checkpointed(reps.join(shared, "digest"))
+    least = F.greatest(F.lit(min_shared), F.ceil(F.col("n") * min_ratio - 1e-9))
+    own = Window.partitionBy("doc_id").orderBy("freq", "digest")
+    rare = reps.withColumn("nth", F.row_number().over(own)).withColumn("of", F.count("*").over(Window.partitionBy("doc_id"))).filter(F.col("nth") <= F.col("of") - least + 1)
+    few = rare.select(F.col("doc_id").alias("s"), "digest", F.col("n").alias("ns"))
+    many = reps.select(F.col("doc_id").alias("l"), "digest", F.col("n").alias("nl"))
+    candidates = few.join(many, "digest").filter("ns < nl or (ns = nl and s < l)").select("s", "l", "ns").distinct()
+    own = reps.select(F.col("doc_id").alias("s"), "digest")
+    both = candidates.join(own, "s").join(reps.select(F.col("doc_id").alias("l"), "digest"), ["l", "digest"])
+    pairs = both.groupBy("s", "l").agg(F.count("*").alias("shared"), F.first("ns").alias("n")).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "shared", "n")
     star = members.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("shared"), "n")
     rows = pairs.unionByName(star).withColumn("ratio", F.round(F.col("shared") / F.col("n"), 3))
     return rows.filter((F.col("shared") >= min_shared) & (F.col("shared") / F.col("n") >= min_ratio)).select("a", "b", "shared", "ratio")
@@ -57,7 +76,7 @@ def shared_digests(chunks: DataFrame, documents: DataFrame, min_ratio: float = 0
 
 def duplicate_clusters(chunks: DataFrame, documents: DataFrame, min_ratio: float = 0.5, min_shared: int = 3) -> DataFrame:
     """(cluster, doc_id, shared, ratio): documents that share much, grouped; shared and ratio are the cluster's largest."""
-    pairs = shared_digests(chunks, documents, min_ratio, min_shared)
+    pairs = checkpointed(shared_digests(chunks, documents, min_ratio, min_shared))  # read by the components and again for the largest shares
     comp = connected_components(pairs)
     best = pairs.join(comp.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.max("shared").alias("shared"), F.max("ratio").alias("ratio"))
     return comp.join(best, "component").select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"), "shared", "ratio")
@@ -126,6 +145,10 @@ def distinctive_terms(labelled: DataFrame, label: str, text: str, top: int = 5,
 CODE_EXTENSIONS = ("py", "js", "jsx", "ts", "tsx", "mjs", "cjs", "go", "rs", "java", "kt", "kts", "swift", "cs", "rb", "php", "sh", "bash", "zsh", "fish", "pl", "lua", "scala", "ex", "exs", "c", "h", "cc", "cpp", "hpp", "m", "mm", "sql", "tf")
 
 
+#: A line that defines {0}: words that may stand before, a word that defines, the name.
+DEFINES = r"^\s*(?:(?:export|public|private|protected|static|async|abstract|final|pub|default)\s+)*(?:def|class|function|fn|func|struct|enum|trait|interface|type|const|let|var|val|impl)\s+{0}\b"
+
+
 def symbol_sites(chunks: DataFrame, documents: DataFrame, name: str, limit: int = 25, mentions: int = 8) -> DataFrame:
     """(kind, path, line, text): where a symbol is defined, called or mentioned; one site per path and line, definitions and calls in code files only."""
     import re
@@ -134,7 +157,7 @@ def symbol_sites(chunks: DataFrame, documents: DataFrame, name: str, limit: int
     lines = chunks.filter(F.contains("text", F.lit(name))).join(documents.select("doc_id", "path"), "doc_id").select("path", "line_start", F.posexplode(F.split("text", "\n")).alias("at", "line_text"))
     lines = lines.filter(F.col("line_text").rlike(rf"\b{n}\b"))
     code = T.extension(F.col("path")).isin(*CODE_EXTENSIONS)
-    define = F.col("line_text").rlike(rf"^\s*(?:(?:export|public|private|protected|static|async|abstract|final|pub|default)\s+)*(?:def|class|function|fn|func|struct|enum|trait|interface|type|const|let|var|val|impl)\s+{n}\b")
+    define = F.col("line_text").rlike(DEFINES.format(n))
     kind = F.when(code & define, "definition").when(code & F.col("line_text").rlike(rf"\b{n}\s*\("), "call").otherwise("mention")
     rows = lines.select(kind.alias("kind"), "path", (F.when(F.col("line_start") > 0, F.col("line_start")).otherwise(1) + F.col("at")).cast("long").alias("line"), T.snippet(F.col("line_text")).alias("text"))
     rows = rows.groupBy("path", "line").agg(F.min("kind").alias("kind"), F.min("text").alias("text"))

@@ -48,6 +48,15 @@ def bookmarks(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).filter(F.col("source").startswith("web:")).orderBy(F.desc_nulls_last("indexed_at"), F.desc("doc_id")).limit(200).select("doc_id", "path", "indexed_at")
 
 
+ROOTS = ("local/fugradrux", "repos", "web:https:", "nowhere")
+
+
+@query(f"""WITH {CH}, n AS (SELECT doc_id, count(*) AS chunks FROM ch GROUP BY doc_id), r AS (SELECT unnest([{', '.join(map(repr, ROOTS))}]) AS root)
+    SELECT root, count(d.doc_id) AS documents, coalesce(sum(chunks), 0)::BIGINT AS chunks FROM r LEFT JOIN documents d ON d.path = root OR starts_with(d.path, root || '/') LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY root""")
+def roots_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.roots_rollup(documents(spark, d), chunks(spark, d, "doc_id"), list(ROOTS))
+
+
 @query("SELECT doc_id, path, mtime FROM documents WHERE mtime > 0 ORDER BY mtime, doc_id LIMIT 5")
 def oldest_documents(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).filter("mtime > 0").orderBy("mtime", "doc_id").limit(5).select("doc_id", "path", "mtime")
@@ -58,7 +67,7 @@ def corpus_revision(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).agg(F.coalesce(F.date_format(F.max("indexed_at"), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("revision"))
 
 
-@query(f"WITH {CH} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ordinal, id) AS text FROM ch GROUP BY doc_id")
+@query(f"WITH {CH} SELECT doc_id, (ordinal // 2000)::BIGINT AS part, string_agg(text, chr(10) || chr(10) ORDER BY ordinal, id) AS text FROM ch GROUP BY ALL")
 def document_text(spark: SparkSession, d: str) -> DataFrame:
     return analytics.document_text(chunks(spark, d, "doc_id", "ordinal", "text"))
 
@@ -68,12 +77,12 @@ PAIRS = f"{LINES}, pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS sh
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, links AS (SELECT a, b FROM good UNION SELECT b, a FROM good), reach AS (SELECT a AS node, a AS low FROM links UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node WHERE r.low < l.b),
-    comp AS (SELECT node, min(low) AS cluster FROM reach GROUP BY node), best AS (SELECT cluster, max(ratio) AS ratio FROM good JOIN comp ON comp.node = good.a GROUP BY cluster)
-    SELECT cluster, node AS doc_id, ratio FROM comp JOIN best USING (cluster)""")
+    comp AS (SELECT node, min(low) AS cluster FROM reach GROUP BY node), best AS (SELECT cluster, max(ratio) AS ratio, max(shared) AS shared FROM good JOIN comp ON comp.node = good.a GROUP BY cluster)
+    SELECT cluster, node AS doc_id, shared, ratio FROM comp JOIN best USING (cluster)""")
 def duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Documents grouped by the distinct lines they share."""
     lines = analytics.duplicate_pairs_of_lines(documents(spark, d), "doc_id", "text")
-    return analytics.duplicate_clusters(lines, documents(spark, d)).select("cluster", "doc_id", "ratio")
+    return analytics.duplicate_clusters(lines, documents(spark, d))
 
 
 def _star_sql() -> str:
@@ -127,7 +136,14 @@ def topic_labels(spark: SparkSession, d: str) -> DataFrame:
     return analytics.distinctive_terms(documents(spark, d).select(F.col("source").alias("label"), "text"), "label", "text")
 
 
-@query()
+_CODE = ", ".join(map(repr, analytics.CODE_EXTENSIONS))
+_DEFINES = analytics.DEFINES.format("emit").replace("'", "''")
+
+
+@query(rf"""WITH {CH}, l AS (SELECT d.path, CASE WHEN line_start > 0 THEN line_start ELSE 1 END AS first, string_split(ch.text, chr(10)) AS lines FROM ch JOIN documents d USING (doc_id) WHERE contains(ch.text, 'emit')),
+    e AS (SELECT path, first + unnest(range(0, len(lines))) AS line, unnest(lines) AS t FROM l), m AS (SELECT *, lower(regexp_extract(path, '[^/]\.([^./]*)$', 1)) AS ext, trim(regexp_replace(t, '[\s\p{{Z}}]+', ' ', 'g')) AS one FROM e WHERE regexp_matches(t, '\bemit\b')),
+    k AS (SELECT path, line, CASE WHEN ext IN ({_CODE}) AND regexp_matches(t, '{_DEFINES}') THEN 'definition' WHEN ext IN ({_CODE}) AND regexp_matches(t, '\bemit\s*\(') THEN 'call' ELSE 'mention' END AS kind, CASE WHEN length(one) > 160 THEN one[:159] || '…' ELSE one END AS text FROM m),
+    g AS (SELECT path, line, min(kind) AS kind, min(text) AS text FROM k GROUP BY path, line) SELECT kind, path, line::BIGINT AS line, text FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path, line) AS n FROM g) WHERE n <= CASE WHEN kind = 'mention' THEN 8 ELSE 25 END""")
 def symbol_sites(spark: SparkSession, d: str) -> DataFrame:
     return analytics.symbol_sites(chunks(spark, d, "doc_id", "text", "line_start"), documents(spark, d), "emit")
 
@@ -187,12 +203,11 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).filter("text is not null").select("doc_id", F.concat(F.lit("https://Host.example/"), F.regexp_replace("path", "^web:https://", ""), F.lit("?v=1#top")).alias("url"), F.expr(HTML.replace("chr(10)", "'\\n'")).alias("html"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, path, regexp_replace(replace(text, chr(10), chr(10)), '', '') AS t FROM documents WHERE text IS NOT NULL),
-    l AS (SELECT doc_id, array_to_string(list_transform(string_split(path || t, chr(10)), lambda x: trim(x)), chr(10)) AS x FROM p) SELECT doc_id, length(replace(replace(x, ' ', ''), chr(10), '')) AS visible FROM l""")
+@query("""WITH t AS (SELECT doc_id, path || text || chr(10) || 'x' AS t FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), chr(10)) AS t FROM t) SELECT doc_id, trim(regexp_replace(trim(t, chr(10) || ' '), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') AS text FROM l""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    """Visible characters of the text of a page: tags and entities go, everything else stays (title, text and the link's one letter)."""
-    out = _pages(spark, d).withColumn("x", T.html_to_text(F.col("html")))
-    return out.select("doc_id", (F.length(F.replace(F.replace("x", F.lit(" ")), F.lit("\n"))) - 1).cast("long").alias("visible"))
+    """Pages made of the documents give back their texts: title, text and the link's one letter; lines trimmed, blank lines at most one."""
+    return _pages(spark, d).select("doc_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query("SELECT doc_id, path AS title FROM documents WHERE text IS NOT NULL")
