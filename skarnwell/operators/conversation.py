@@ -17,10 +17,23 @@ def once(messages: DataFrame) -> DataFrame:
     return messages.dropDuplicates(["id"])
 
 
+SEGMENT_IDS = 65_536
+
+
 def previous_question(messages: DataFrame) -> DataFrame:
-    """messages with `question`: the last user text before each in its chat, by id. A window with a running frame; nothing is joined."""
-    w = Window.partitionBy("chat_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return messages.withColumn("question", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w))
+    """messages with `question`: the last user text before each in its chat, by id.
+
+    A chat is taken in segments of ids: a running window within each, and the last question of earlier segments from a second window over one row a
+    segment, so that a chat with very many messages is spread over many tasks.
+    """
+    m = messages.withColumn("_s", F.floor(F.col("id") / SEGMENT_IDS))
+    asked = F.when(F.col("role") == "user", F.col("text"))
+    inside = Window.partitionBy("chat_id", "_s").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("_q", F.last(asked, ignorenulls=True).over(inside))
+    ends = messages.withColumn("_s", F.floor(F.col("id") / SEGMENT_IDS)).groupBy("chat_id", "_s").agg(F.max_by("text", F.when(asked.isNotNull(), F.col("id"))).alias("_last"))
+    earlier = Window.partitionBy("chat_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier)).filter("_before is not null").select("chat_id", "_s", "_before")
+    return m.join(carried, ["chat_id", "_s"], "left").withColumn("question", F.coalesce("_q", "_before")).select(*messages.columns, "question")
 
 
 def recent_turns(messages: DataFrame, turns: int = 3) -> DataFrame:
@@ -74,10 +87,12 @@ def cache_put(cache: DataFrame, new: DataFrame, key: str, most: int) -> DataFram
 
 
 def cache_nearest(cache: DataFrame, queries: DataFrame, query_id: str, vector: str, dim: int, least: float = CACHE_COSINE) -> DataFrame:
-    """(query_id, cache_key, score): the most similar cached question of the same fingerprint, at least that similar."""
+    """(query_id, cache_key, score): the most similar cached question of the same fingerprint, at least that similar.
+
+    Fingerprints are compared where the vectors are, so that questions of one fingerprint are never paired up first.
+    """
     c = cache.dropDuplicates(["cache_key"])
-    scope = queries.select(query_id, F.col("fingerprint").alias("f")).join(c.select("cache_key", "fingerprint"), F.col("f") == F.col("fingerprint")).select(query_id, "cache_key")
-    return dense_topk(c, "cache_key", "embedding", queries, query_id, vector, dim, 1, scope=scope, min_cosine=least).select(query_id, "cache_key", "score")
+    return dense_topk(c, "cache_key", "embedding", queries, query_id, vector, dim, 1, min_cosine=least, group=("fingerprint", "fingerprint")).select(query_id, "cache_key", "score")
 
 
 def nearest_correction(corrections: DataFrame, queries: DataFrame, query_id: str, vector: str, dim: int, least: float = CORRECTION_COSINE) -> DataFrame:

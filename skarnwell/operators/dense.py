@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarnwell.operators.lexical import ranked
+from skarnwell.operators.lexical import in_scope, keep_best, ranked, scoped_texts
 
 BLOCK_BYTES = 64 << 20  # query vectors sent to the tasks at once
+BLOCK_QUERIES, CELLS = 16_384, 1 << 22  # queries of a block, and scores that a task holds at once besides its best
 
 
 def dot(a: str, b: str) -> str:
@@ -28,34 +29,32 @@ def usable(vectors: DataFrame, vector: str, dim: int) -> DataFrame:
     return vectors.filter((F.size(vector) == dim) & ~F.forall(F.col(vector), lambda x: x.eqNullSafe(0)) & ~F.exists(vector, lambda x: x.isNull()))
 
 
-def dense_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, dim: int, top: int, scope: DataFrame | None = None, min_cosine: float | None = None, digits: int = 6) -> DataFrame:
+def dense_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, dim: int, top: int, scope: DataFrame | None = None, min_cosine: float | None = None, digits: int = 6, group: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, key, score, rank): the exact `top` most similar vectors per query, ties by key.
 
     The stated queries go to the tasks in blocks of bounded size; each task multiplies its batches with a block and keeps its own best,
-    so that only tasks x queries x top rows are shuffled. Scores are rounded before they are ranked. scope (query_id, key) restricts candidates.
+    so that only tasks x queries x top rows are shuffled. Scores are rounded before they are ranked. Candidates may be restricted, always before the
+    cut: by scope (query_id, key), or by group, the columns of vectors and queries that must be equal (and not null).
     """
     spark = vectors.sparkSession
-    q = usable(queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")), "v", dim)
+    label = lambda side: (F.col(group[side]) if group else F.lit("")).cast("string").alias("g")
+    q = usable(queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"), label(1)), "v", dim).filter("q is not null and g is not null")
     total = q.count()
-    per_block = max(1, BLOCK_BYTES // (8 * dim))
-    blocks = max(1, -(-total // per_block))
-    v = usable(vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")), "v", dim)
-    types = dict(v.dtypes) | {"q": dict(q.dtypes)["q"]}
-    out = spark.createDataFrame([], f"q {types['q']}, k {types['k']}, score double")
-    scoped = scope is not None
+    blocks = max(1, -(-total // max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * dim)))))
+    v = usable(vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"), label(0)), "v", dim)
+    kinds = dict(q.dtypes)["q"], dict(v.dtypes)["k"]
+    schema = f"q {kinds[0]}, k {kinds[1]}, score double"
+    out = spark.createDataFrame([], schema)
     for b in range(blocks):
         rows = q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
         if not rows:
             continue
         ids = [r.q for r in rows]
         m = _unit(np.array([r.v for r in rows], np.float64))
-        # with a scope the cut must come after it, so that all scores are kept until then
-        part = v.mapInPandas(_best(ids, m, None if scoped else top, min_cosine, digits), f"q {types['q']}, k {types['k']}, score double")
-        out = out.unionByName(part)
-    scored = out.select(F.col("q").alias(query_id), F.col("k").alias(key), "score")
-    if scoped:
-        scored = scored.join(scope.select(query_id, key).distinct(), [query_id, key], "left_semi")
-    return ranked(scored, query_id, key, "score", top)
+        labels = np.array([r.g for r in rows], object) if group else None
+        part = v if scope is None else v.join(scoped_texts(spark, scope, query_id, key, ids, kinds[0]), "k")
+        out = out.unionByName(part.mapInPandas(_best(ids, m, top, min_cosine, digits, labels), schema))
+    return ranked(out.select(F.col("q").alias(query_id), F.col("k").alias(key), "score"), query_id, key, "score", top)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -63,26 +62,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def _best(ids: list, m: np.ndarray, top: int | None, least: float | None, digits: int):
+def _best(ids: list, m: np.ndarray, top: int, least: float | None, digits: int, labels: np.ndarray | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, scores = None, None
+        step = max(1, CELLS // len(ids))
+        if labels is not None:
+            number = {g: n for n, g in enumerate(dict.fromkeys(labels))}
+            mine = np.array([number[g] for g in labels])
         for pdf in batches:
-            if not len(pdf):
-                continue
-            s = np.round(_unit(np.stack(pdf["v"].to_numpy()).astype(np.float64)) @ m.T, digits).T
-            k = np.broadcast_to(pdf["k"].to_numpy(), s.shape)
-            if top is None:
-                yield from _rows(ids, k, s, least)
-                continue
-            if keys is not None:
-                k, s = np.concatenate([keys, k], axis=1), np.concatenate([scores, s], axis=1)
-            if s.shape[1] > top:
-                # everything equal to the last kept score stays, the rank decides by key
-                bar = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-                width = int((s >= bar[:, None]).sum(1).max())
-                o = np.argsort(-s, axis=1, kind="stable")[:, :width]
-                k, s = np.take_along_axis(k, o, 1), np.take_along_axis(s, o, 1)
-            keys, scores = k, s
+            for a in range(0, len(pdf), step):
+                part = pdf.iloc[a : a + step]
+                s = np.round(_unit(np.stack(part["v"].to_numpy()).astype(np.float64)) @ m.T, digits)
+                if "scope" in part:
+                    s[~in_scope(part["scope"], len(ids))] = -np.inf
+                if labels is not None:
+                    s[part["g"].map(number).fillna(-1).to_numpy()[:, None] != mine] = -np.inf
+                keys, scores = keep_best(keys, scores, np.broadcast_to(part["k"].to_numpy(), s.T.shape), s.T, top, np.finfo(np.float64).min)
         if keys is not None:
             yield from _rows(ids, keys, scores, least)
 

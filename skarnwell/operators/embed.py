@@ -84,30 +84,38 @@ def with_cache(rows: DataFrame, text: str, cache: DataFrame, embedder: Embedder)
     return out, new
 
 
-def sparse_vectors(rows: DataFrame, key: str, text: str, dim: int = 4096) -> DataFrame:
-    """(key, i, w): the hashing embedder's non-zero components, for cosines by join instead of wide arrays."""
-    kind = dict(rows.dtypes)[key]
-    e = HashingEmbedder(dim)
-
+def embedded_topk(texts: DataFrame, key: str, text: str, queries: DataFrame, query_id: str, query: str, embedder: Embedder, top: int) -> DataFrame:
+    """(query_id, key, score, rank): the texts most similar to each query by an embedder that runs in the tasks; positive cosines only.
+
+    Wide vectors of texts are made where they are compared and never stored or shuffled; queries go to the tasks in bounded blocks.
+    """
+    from skarnwell.operators.lexical import keep_best, ranked
+
+    q = queries.select(F.col(query_id).alias("q"), F.col(query).alias("t")).filter("q is not null and t is not null")
+    t = texts.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    schema = f"q {dict(q.dtypes)['q']}, k {dict(t.dtypes)['k']}, score double"
+    out = texts.sparkSession.createDataFrame([], schema)
+    blocks = max(1, -(-q.count() * embedder.dim * 8 // (64 << 20)))
+    for b in range(blocks):
+        rows = q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
+        if rows:
+            ids = np.empty(len(rows), object)
+            ids[:] = [r.q for r in rows]
+            out = out.unionByName(t.mapInPandas(_embedded_best(ids, embedder.embed([r.t for r in rows]).astype(np.float64), embedder, top, keep_best), schema))
+    return ranked(out.select(F.col("q").alias(query_id), F.col("k").alias(key), "score"), query_id, key, "score", top)
+
+
+def _embedded_best(ids: np.ndarray, m: np.ndarray, embedder: Embedder, top: int, keep_best):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, scores = None, None
         for pdf in batches:
-            out = []
-            for k, t in zip(pdf["k"], pdf["t"], strict=True):
-                v: dict[int, float] = {}
-                for w in e.tokens(t):
-                    i, s = e.place(w)
-                    v[i] = v.get(i, 0) + s
-                n = sum(x * x for x in v.values()) ** 0.5
-                out += [(k, i, x / n) for i, x in v.items() if x]
-            yield pd.DataFrame(out, columns=["k", "i", "w"])
-
-    return rows.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"k {kind}, i int, w double").withColumnRenamed("k", key)
-
-
-def sparse_topk(vectors: DataFrame, key: str, queries: DataFrame, query_id: str, top: int) -> DataFrame:
-    """(query_id, key, score, rank) by the cosine of sparse vectors."""
-    from skarnwell.operators.lexical import ranked
-
-    q = queries.select(query_id, "i", F.col("w").alias("qw"))
-    scored = vectors.join(q, "i").groupBy(query_id, key).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
-    return ranked(scored, query_id, key, "score", top)
+            for a in range(0, len(pdf), 512):
+                part = pdf.iloc[a : a + 512]
+                s = np.round(embedder.embed(list(part["t"])).astype(np.float64) @ m.T, 6).T
+                keys, scores = keep_best(keys, scores, np.broadcast_to(part["k"].to_numpy(), s.shape), np.maximum(s, 0), top, 1e-12)
+        if keys is not None:
+            q, j = np.nonzero(scores > 0)
+            if len(q):
+                yield pd.DataFrame({"q": ids[q], "k": keys[q, j], "score": scores[q, j]})
+
+    return run

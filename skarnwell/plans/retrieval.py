@@ -90,8 +90,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 def dense_topk_scoped(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     probes = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("pv"), F.col("label").alias("pl"))
-    scope = probes.join(v.select("vec_id", "label"), F.col("pl") == F.col("label")).select("probe", "vec_id")
-    return dense.dense_topk(v, "vec_id", "embedding", probes, "probe", "pv", DIM, 5, scope=scope)
+    return dense.dense_topk(v, "vec_id", "embedding", probes, "probe", "pv", DIM, 5, group=("label", "pl"))
 
 
 @query(f"WITH {CH}, {QUESTIONS}, {sql_path('lane', 'questions', 'cache_key', 'question', 20)} SELECT cache_key, id, score, rank FROM lane")
@@ -261,14 +260,10 @@ def filter_grammar(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("query_id", "text", "folder", "source", meta.alias("meta"))
 
 
+@query()
 def hash_search(spark: SparkSession, d: str) -> DataFrame:
-    """Golden questions against chunks by the hashing embedder, as a join of sparse vectors."""
-    v = embed.sparse_vectors(chunks(spark, d, "text"), "id", "text")
-    q = embed.sparse_vectors(golden(spark, d), "query_id", "text")
-    return embed.sparse_topk(v, "id", q, "query_id", 10)
-
-
-query()(hash_search)
+    """Golden questions against chunks by the hashing embedder."""
+    return embed.embedded_topk(chunks(spark, d, "text"), "id", "text", golden(spark, d), "query_id", "text", embed.HashingEmbedder(4096), 10)
 
 
 @query()

@@ -36,12 +36,14 @@ class Options:
 
 
 def scope_of(queries: DataFrame, corpus: Corpus, query_id: str) -> DataFrame:
-    """(query_id, id) for the chunks in the scope of every query that has filters; queries without filters have no rows."""
+    """(query_id, doc_id) for the documents in the scope of every query that has filters; queries without filters have no rows. Documents are matched with the distinct filters of the batch."""
     restricted = queries.filter(F.col("folder").isNotNull() | F.col("source").isNotNull() | (F.size("meta") > 0)).select(query_id, "folder", F.col("source").alias("wanted_source"), "meta")
+    restricted = restricted.withColumn("_filter", F.to_json(F.struct(F.lower("folder").alias("f"), "wanted_source", F.sort_array(F.map_entries("meta")).alias("m"))))
+    distinct = restricted.dropDuplicates(["_filter"]).drop(query_id)
     meta = F.forall(F.map_entries("meta"), lambda e: F.lower(F.coalesce(F.try_element_at("metadata", e["key"]), F.lit(""))) == F.lower(e["value"]))
     docs = corpus.documents.select("doc_id", "path", "source", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
-    inside = docs.join(restricted, fusion.in_scope(F.col("folder"), F.col("wanted_source"), F.col("path"), F.col("source")) & meta)
-    return inside.select(query_id, "doc_id").join(corpus.chunks.select("id", "doc_id"), "doc_id").select(query_id, "id")
+    inside = docs.join(distinct, fusion.in_scope(F.col("folder"), F.col("wanted_source"), F.col("path"), F.col("source")) & meta).select("_filter", "doc_id")
+    return inside.join(restricted.select(query_id, "_filter"), "_filter").select(query_id, "doc_id")
 
 
 def search(corpus: Corpus, queries: DataFrame, query_id: str, query: str, now: float, options: Options | None = None) -> DataFrame:
@@ -56,7 +58,8 @@ def search(corpus: Corpus, queries: DataFrame, query_id: str, query: str, now: f
     q = fusion.with_filters(queries, query)
     free = q.filter(F.col("folder").isNull() & F.col("source").isNull() & (F.size("meta") == 0))
     bound = q.join(free.select(query_id), query_id, "left_anti")
-    scope = scope_of(q, c, query_id)
+    documents = scope_of(q, c, query_id)
+    scope = documents.join(chunks.select("id", "doc_id"), "doc_id").select(query_id, "id")
 
     def both(lane) -> DataFrame:
         return lane(free, None).unionByName(lane(bound, scope))
@@ -66,8 +69,7 @@ def search(corpus: Corpus, queries: DataFrame, query_id: str, query: str, now: f
     for name, column in o.vectors.items():
         lanes.append((name, both(lambda part, s, column=column: dense.dense_topk(chunks, "id", "embedding", part, query_id, column, o.dim, o.pool, scope=s))))
     plain = chunks.select("id", "doc_id", "ordinal")
-    inside = plain.join(scope.select("id").distinct(), "id", "left_semi")
-    paths = lexical.path_lane(plain, c.documents, free, query_id, "text", o.pool).unionByName(_scoped_paths(inside, c.documents, bound, scope, query_id, o.pool))
+    paths = lexical.path_lane(plain, c.documents, free, query_id, "text", o.pool).unionByName(lexical.path_lane(plain, c.documents, bound, query_id, "text", o.pool, scope=documents))
     lanes.append(("path", paths))
     fused = fusion.rrf(lanes, query_id, "id", o.weights)
     hits = fusion.adjusted(fused, query_id, "id", chunks, c.documents, now, max(o.top, LEAST_CANDIDATES))
@@ -86,9 +88,3 @@ def search(corpus: Corpus, queries: DataFrame, query_id: str, query: str, now: f
         cosine = F.coalesce("_cosine", F.lit(0.0))
     return hits.select(query_id, "place", "id", "doc_id", "path", "source", "ordinal", F.col("line_start").alias("line"), "score", cosine.alias("cosine"), "lanes", "metadata", "text", "parent_text")
 
-
-def _scoped_paths(chunks: DataFrame, documents: DataFrame, queries: DataFrame, scope: DataFrame, query_id: str, top: int) -> DataFrame:
-    """The path lane for queries with a scope: all matches of chunks in some scope, then those in the query's own, then the cut."""
-    every = lexical.path_lane(chunks, documents, queries, query_id, "text", 2**31 - 1)
-    mine = every.join(scope.distinct(), [query_id, "id"], "left_semi")
-    return lexical.reranked(mine, query_id, "rank", top)

@@ -75,7 +75,7 @@ def test_filters(spark):
     assert (text, f.folder, f.source, f.meta) == ("mã số thuế see http://x.y/z", "Financial", "a b", {"status": "draft"})
     q = spark.createDataFrame([('folder:Financial mã số thuế status:Draft see http://x.y/z source:"a b"',), ("plain",)], "q string")
     r = fusion.with_filters(q, "q").collect()
-    assert (r[0].text, r[0].folder, r[0].source, r[0].meta) == ("mã số thuế see http://x.y/z", "Financial", "a b", {"status": "draft"})
+    assert (r[0].text, r[0].folder, r[0].source, r[0].meta) == ("mã số thuế see http://x.y/z", "Financial", "a b", {"status": "Draft"})
     assert (r[1].text, r[1].folder, r[1].meta) == ("plain", None, {})
 
 
@@ -156,8 +156,8 @@ def test_embedder_and_cache(spark):
     got = {r.id: r.embedding for r in out.collect()}
     assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and got[3] is None and sum(got[4]) == 0
     assert new.count() == 2 and embed.with_cache(df, "text", new, e)[1].count() == 0
-    v = embed.sparse_vectors(df.filter("id < 3"), "id", "text")
-    assert [r.score for r in embed.sparse_topk(v, "id", v.withColumnRenamed("id", "q"), "q", 1).collect()] == [1.0, 1.0]
+    got = embed.embedded_topk(df.filter("id < 3"), "id", "text", df.filter("id < 3").withColumnRenamed("id", "q"), "q", "text", e, 1)
+    assert [r.score for r in got.collect()] == [1.0, 1.0]
 
 
 def test_topics(spark):
