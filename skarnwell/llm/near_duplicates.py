@@ -29,8 +29,9 @@ COORDINATES, SKETCH_WORDS = 32, 8  # 8-bit minwise values for a tree; 64-bit wor
 TREES, LEAF = 8, 48
 DEPTH = 5  # levels of a tree; what is still together is compared by sketch, since deeper nodes lose similar classes
 TOP_SHARE, TOP_ROWS = 0.02, 20_000  # a coordinate leaves about this share of the classes together; rows of a node that are meant for one task
-HOT_ROWS, SAMPLED = 8 * TOP_ROWS, 64  # a node with more rows branches again before the shuffle; one class in so many is counted to find such nodes
+HOT_ROWS, SAMPLED = 2 * TOP_ROWS, 64  # a node with more rows branches again before the shuffle; one class in so many is counted to find such nodes
 ROW_BYTES, TASK_BYTES = 160, 32 << 20
+DEPTH_BIT = 40  # a row's number of words and the depth of its node share a long
 
 _M1, _M2, _GOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,7 +149,7 @@ def _branch(batches: Iterator[pd.DataFrame], trees: int, levels: int, hot: np.nd
                 nodes = np.concatenate([nodes[~down], below])
             out = pdf.iloc[rows].copy()
             out["coords"] = np.array([r.tobytes() for r in own], dtype=object)[rows]
-            out.insert(0, "depth", depth)
+            out["n"] = out["n"].to_numpy(np.int64) | depth << DEPTH_BIT if "n" in out else depth << DEPTH_BIT
             out.insert(0, "node", nodes.view(np.int64))
             yield out
 
@@ -158,8 +159,8 @@ def _hot_nodes(sketched: DataFrame, trees: int, levels: int, hot_rows: int) -> n
     sample = sketched.filter(F.pmod(F.xxhash64("bag"), F.lit(SAMPLED)) == 0).dropDuplicates(["bag"]).select("bag", "coords")
     hot = np.zeros(0, np.uint64)
     for _ in range(levels, DEPTH - 1):
-        at = sample.mapInPandas(lambda it, hot=hot: _branch(it, trees, levels, hot), "node long, depth long, bag binary, coords binary")
-        more = [r.node for r in at.filter(F.col("depth") < DEPTH - 1).groupBy("node").count().filter(F.col("count") * SAMPLED > hot_rows).select("node").collect()]
+        at = sample.mapInPandas(lambda it, hot=hot: _branch(it, trees, levels, hot), "node long, bag binary, coords binary, n long")
+        more = [r.node for r in at.filter(F.shiftright("n", DEPTH_BIT) < DEPTH - 1).groupBy("node").count().filter(F.col("count") * SAMPLED > hot_rows).select("node").collect()]
         if not more:
             break
         hot = np.union1d(hot, np.array(more, np.int64).view(np.uint64))
@@ -171,8 +172,8 @@ class Node:
 
     def __init__(self, pdf: pd.DataFrame, agree: float, ratio: float):
         self.node = pdf["node"].to_numpy().view(np.uint64)
-        self.n = pdf["n"].to_numpy()
-        self.depth = pdf["depth"].to_numpy()
+        n = pdf["n"].to_numpy()
+        self.n, self.depth = n & (1 << DEPTH_BIT) - 1, n >> DEPTH_BIT
         self.doc = pdf["doc"].to_numpy()
         self.coords = np.frombuffer(b"".join(pdf["coords"]), dtype=np.uint8).reshape(len(pdf), -1)
         self.sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(len(pdf), -1)
@@ -277,7 +278,7 @@ def similar_classes(texts: DataFrame, key: str, group: str, text: str, threshold
     jaccard = threshold / (2 - threshold)
     agree = (1 + jaccard) / 2
     agree -= 3 * (agree * (1 - agree) / (64 * SKETCH_WORDS)) ** 0.5
-    schema = "node long, depth long, bag binary, doc long, n int, sketch binary, coords binary"
+    schema = "node long, bag binary, doc long, n long, sketch binary, coords binary"
     nodes = classes.mapInPandas(lambda it: _branch(it, trees, levels, hot), schema)
     found = nodes.repartition(parts, "node").sortWithinPartitions("node").mapInPandas(lambda it: _compare(it, agree, threshold), "a binary, b binary").distinct()
     bags = rows.mapInPandas(lambda it: _bags(it, min_words), "bag binary, tokens array<long>")
