@@ -148,6 +148,39 @@ def llm_json(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)
 
 
+def literal_regex(text: str) -> str:
+    """A Java pattern that matches just this text."""
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def json_map(text: Column) -> Column:
+    """A JSON object of strings as a map; empty for null and for what is no such object."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def _last_index(text: Column, part: str) -> Column:
+    """Place of the last occurrence, from 0; -1 without."""
+    at = F.instr(F.reverse(text), part[::-1])
+    return F.when(at > 0, F.length(text) - at - len(part) + 1).otherwise(-1)
+
+
+def clip(text: Column, limit: int) -> Column:
+    """A text cut at the last sentence or line end within the limit, if that keeps half of it, else at the last space, else at the limit."""
+    window = F.substring(text, 1, limit)
+    end = F.greatest(*[_last_index(window, p) for p in (". ", "! ", "? ", "\n")])
+    cut = F.when(end < limit // 2, _last_index(window, " ")).otherwise(end)
+    return F.when(F.length(text) <= limit, text).when(cut <= 0, window).otherwise(F.regexp_replace(F.substring(window, F.lit(1), cut + 1), r"(?U)\s+$", ""))
+
+
+#: Words that ask for a picture.
+DIAGRAM_WORDS = ("diagram", "flowchart", "flow chart", "sequence diagram", "architecture diagram", "draw", "chart", "graph", "sơ đồ", "biểu đồ", "vẽ")
+
+
+def wants_diagram(question: Column) -> Column:
+    """A question asks for a picture: one of the words stands in it, alone or in the plural."""
+    return F.lower(question).rlike(r"(?U)\b(?:" + "|".join(DIAGRAM_WORDS) + r")s?\b")
+
+
 def glob_regex(pattern: str) -> str:
     """The regular expression of a shell pattern."""
     import fnmatch

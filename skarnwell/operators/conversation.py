@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarnwell.functions import text as T
 from skarnwell.operators.dense import dense_topk
 
 CACHE_COSINE, CORRECTION_COSINE, MEMORY_COSINE = 0.88, 0.88, 0.35
@@ -116,15 +117,79 @@ def revisions(documents: DataFrame, corrections: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(c))
 
 
-def prompt(hits: DataFrame, query_id: str, question: str, turns: DataFrame | None = None) -> DataFrame:
-    """(query_id, prompt): numbered passages in order of place, then the question; the last turns, cut to 400 characters each, before it."""
+#: Signs of a question with several parts, and the words that a follow-up has at most.
+SEVERAL = (" and ", " vs ", " both ", " so sánh", " và ", " với ")
+FOLLOW_UP_WORDS = 12
+
+
+def needs_plan(question: Column, has_history: Column, hyde: bool = False) -> Column:
+    """A model is asked to rewrite and divide a question first: always with hyde, for short follow-ups, and for questions with several parts."""
+    q = F.lower(question)
+    several = F.lit(False)
+    for sign in SEVERAL:
+        several = several | F.contains(q, F.lit(sign))
+    words = F.size(F.filter(F.split(question, r"(?U)\s+"), lambda w: w != ""))
+    return F.lit(hyde) | (has_history & (words <= FOLLOW_UP_WORDS)) | several
+
+
+def plan_prompts(questions: DataFrame, query_id: str, question: str, turns: DataFrame | None = None) -> DataFrame:
+    """(query_id, prompt) that asks for a JSON object with standalone, sub_queries and hypothetical; turns: query_id, pos, role, text, cut to 300 characters each."""
+    ask = "Prepare a search. Answer with one JSON object with the keys standalone (the question rewritten to stand alone), sub_queries (two other phrasings at most) and hypothetical (a short paragraph that would answer it), in the language of the question."
+    q = questions.select(query_id, F.col(question).alias("_q"))
+    if turns is not None:
+        t = turns.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws(": ", "role", F.substring("text", 1, 300)).alias("line")))).alias("t"))
+        q = q.join(t, query_id, "left").withColumn("_h", F.array_join(F.transform("t", lambda x: x["line"]), "\n"))
+    return q.select(query_id, F.concat_ws("\n\n", F.lit(ask), F.col("_h") if turns is not None else F.lit(None), F.concat(F.lit("Question: "), "_q")).alias("prompt"))
+
+
+def memory_windows(messages: DataFrame, last: int = 12) -> DataFrame:
+    """(chat_id, window): the last messages of every chat, oldest first, as the text that facts to remember are drawn from."""
+    rows = recent_turns(messages, last // 2)
+    text = rows.groupBy("chat_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws(": ", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("line")))).alias("t"))
+    return text.select("chat_id", F.array_join(F.transform("t", lambda x: x["line"]), "\n").alias("window"))
+
+
+def fingerprint(documents: DataFrame, chunks: DataFrame, corrections: DataFrame, version: str, embedder: str, model: str, spec: str) -> DataFrame:
+    """One row: all that an answer depends on, joined by bars: prompt version, embedder, model and its spec, how many documents and chunks, revisions of corpus and corrections."""
+    n = documents.agg(F.count("*").alias("d")).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("c")))).crossJoin(F.broadcast(revisions(documents, corrections)))
+    return n.select(F.concat_ws("|", F.lit(version), F.lit(embedder), F.lit(model), F.lit(spec), F.col("d").cast("string"), F.col("c").cast("string"), "corpus", "corrections").alias("fingerprint"))
+
+
+def index_due(hours: Column, last: Column, now: Column) -> Column:
+    """An automatic run is due: never without an interval, at once without a readable time of the last run, else when the interval has passed."""
+    ran = F.try_to_timestamp(last, F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.when(F.coalesce(hours, F.lit(0.0)) <= 0, False).when(ran.isNull(), True).otherwise(F.unix_timestamp(now) - F.unix_timestamp(ran) >= hours * 3600)
+
+
+#: What is asked for as to the length of an answer.
+LENGTHS = {"short": "Answer in two sentences.", "medium": "", "long": "Answer in detail."}
+
+
+def notes(query_id: str, memories: DataFrame | None = None, corrections: DataFrame | None = None) -> list[DataFrame]:
+    """(query_id, note) texts to put before the passages: memories (query_id, rank, text), corrections (query_id, question, answer; cut to 200 and 800 characters)."""
+    out = []
+    if memories is not None:
+        m = memories.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("m"))
+        out.append(m.select(query_id, F.concat(F.lit("Known about the reader:\n"), F.array_join(F.transform("m", lambda x: F.concat(F.lit("- "), x["text"])), "\n")).alias("note")))
+    if corrections is not None:
+        c = corrections.select(query_id, F.concat(F.lit("Corrected answer to '"), F.substring("question", 1, 200), F.lit("': "), F.substring("answer", 1, 800)).alias("line"))
+        out.append(c.groupBy(query_id).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("note")))
+    return out
+
+
+def prompt(hits: DataFrame, query_id: str, question: str, turns: DataFrame | None = None, before: list[DataFrame] | None = None, diagrams: bool = False, length: str = "medium") -> DataFrame:
+    """(query_id, prompt): notes (see notes()), numbered passages in order of place, then the question; the last turns, cut to 400 characters each, before it.
+    With diagrams, a question that asks for a picture has a line that says so; length is one of LENGTHS."""
     block = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), F.col("path"), F.lit("\n"), F.col("text"))
     p = hits.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("place", block.alias("block")))).alias("b"), F.first(question).alias("question"))
     p = p.withColumn("passages", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"))
     if turns is not None:
         t = turns.groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws(": ", "role", F.substring("text", 1, 400)).alias("line")))).alias("t"))
         p = p.join(t, query_id, "left").withColumn("history", F.array_join(F.transform("t", lambda x: x["line"]), "\n"))
-    parts = ([F.col("history")] if turns is not None else []) + [F.col("passages"), F.concat(F.lit("Question: "), "question")]
+    for k, note in enumerate(before or []):
+        p = p.join(note.select(query_id, F.col("note").alias(f"_note{k}")), query_id, "left")
+    picture = F.when(T.wants_diagram(F.col("question")), "Answer with a diagram in text form.") if diagrams else F.lit(None).cast("string")
+    parts = ([F.col("history")] if turns is not None else []) + [F.col(f"_note{k}") for k in range(len(before or []))] + [picture, F.lit(LENGTHS[length] or None).cast("string"), F.col("passages"), F.concat(F.lit("Question: "), "question")]
     return p.select(query_id, F.concat_ws("\n\n", *parts).alias("prompt"))
 
 

@@ -50,6 +50,68 @@ class HashingEmbedder:
         return out / np.where(n == 0, 1, n)
 
 
+#: What models of a family expect before questions and passages; others get nothing.
+PROMPTS = {"embeddinggemma": ("task: search result | query: ", "title: none | text: "), "multilingual-e5": ("query: ", "passage: "), "multilingual-gte": ("", ""), "bge-m3": ("", "")}
+
+
+def prompts(model: str) -> tuple[str, str]:
+    """(question, passage) prefixes of a model's family."""
+    return next((p for name, p in PROMPTS.items() if name in model.lower()), ("", ""))
+
+
+def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors from token states (texts, tokens, dim): the mean over the tokens that are no padding."""
+    m = mask[:, :, None].astype(np.float32)
+    v = (hidden * m).sum(1) / np.maximum(m.sum(1), 1)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n == 0, 1, n)
+
+
+class OnnxEmbedder:
+    """A model from an ONNX file and a tokenizer file that every executor can read; opened in the task. For questions ask for `of_questions`."""
+
+    def __init__(self, name: str, model: str, tokenizer: str, dim: int, max_tokens: int = 512, of_questions: bool = False):
+        self.name, self.model, self.tokenizer, self.dim, self.max_tokens = name, model, tokenizer, dim, max_tokens
+        self.prefix = prompts(name)[0 if of_questions else 1]
+        self._open = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_open": None}
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        if self._open is None:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(self.tokenizer)
+            tokenizer.enable_truncation(self.max_tokens)
+            tokenizer.enable_padding()
+            self._open = onnxruntime.InferenceSession(self.model, providers=["CPUExecutionProvider"]), tokenizer
+        session, tokenizer = self._open
+        encoded = tokenizer.encode_batch([self.prefix + t for t in texts])
+        every = {"input_ids": [e.ids for e in encoded], "attention_mask": [e.attention_mask for e in encoded], "token_type_ids": [e.type_ids for e in encoded]}
+        hidden = session.run(None, {i.name: np.array(every[i.name], np.int64) for i in session.get_inputs()})[0]
+        return mean_pool(hidden, np.array(every["attention_mask"])) if hidden.ndim == 3 else hidden
+
+
+class HttpEmbedder:
+    """A model behind an HTTP service that takes {"model", "input"} and returns {"embeddings"}; asked from the tasks."""
+
+    def __init__(self, url: str, model: str, dim: int, of_questions: bool = False, timeout: float = 60.0):
+        self.url, self.name, self.dim, self.timeout = url, model, dim, timeout
+        self.prefix = prompts(model)[0 if of_questions else 1]
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        import json
+        from urllib.request import Request, urlopen
+
+        body = json.dumps({"model": self.name, "input": [self.prefix + t for t in texts]}).encode()
+        with urlopen(Request(self.url, body, {"Content-Type": "application/json"}), timeout=self.timeout) as r:
+            v = np.array(json.load(r)["embeddings"], np.float32)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.where(n == 0, 1, n)
+
+
 _STOP = frozenset(T.STOPWORDS)
 
 

@@ -74,9 +74,14 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
 
 def sql_bm25(name: str, source: str, key: str, text: str, top: int, scope: str = "") -> str:
     """CTEs of a BM25 lane `name` for the queries of `source`."""
-    return f"""{name}_qt AS (SELECT {key}, term, count(*) AS times FROM (SELECT {key}, unnest({sql_tokens(text)}) AS term FROM {source}) GROUP BY {key}, term),
+    token = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+    terms = f"list_transform(regexp_extract_all({FOLD.format(text)}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda t: array_to_string({token.format('t')}, ' '))"
+    return f"""{name}_qt AS (SELECT {key}, term, count(*) AS times FROM (SELECT {key}, unnest({terms}) AS term FROM {source}) WHERE term <> '' GROUP BY {key}, term),
+{name}_ph AS (SELECT DISTINCT term, string_split(term, ' ') AS p FROM {name}_qt WHERE contains(term, ' ')), {name}_ls AS (SELECT id, {sql_tokens('text')} AS t FROM ch),
+{name}_pt AS (SELECT id, term, len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p)) AS tf FROM (SELECT id, t, ' ' || array_to_string(t, ' ') || ' ' AS line FROM {name}_ls) JOIN {name}_ph ON contains(line, ' ' || term || ' ')),
+{name}_tf AS (SELECT id, term, tf FROM tf WHERE term IN (SELECT term FROM {name}_qt) UNION ALL FROM {name}_pt), {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
 {name}_s AS (SELECT q.{key}, tf.id, round(sum(greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)) * times), 9) AS score
-  FROM {name}_qt q JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.id = tf.id CROSS JOIN st {scope} GROUP BY q.{key}, tf.id),
+  FROM {name}_qt q JOIN {name}_tf tf USING (term) JOIN {name}_df USING (term) JOIN dl ON dl.id = tf.id CROSS JOIN st {scope} GROUP BY q.{key}, tf.id),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, id) AS rank FROM {name}_s) WHERE rank <= {top})"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarnwell.operators import conversation, evaluate
+from skarnwell.operators import conversation
 from skarnwell.plans.base import DIM, MSG, QUESTIONS, messages, query, questions, sql_dense, table
 
 PREV = f"{MSG}, prev AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM msg)"
@@ -83,10 +83,3 @@ def memories_topk(spark: SparkSession, d: str) -> DataFrame:
 def corrections_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Memories stand for corrections, of which there is no table; a lower bar, so that there are rows."""
     return conversation.nearest_correction(table(spark, d, "memories").dropDuplicates(["id"]), questions(spark, d), "cache_key", "embedding", DIM, least=0.3)
-
-
-@query("""WITH s AS (SELECT cache_key, trim(unnest(string_split_regex(regexp_replace(answer, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)))) AS sentence FROM (SELECT DISTINCT ON (cache_key) * FROM answer_cache)) SELECT cache_key, count(*) AS sentences FROM s WHERE sentence <> '' GROUP BY cache_key""")
-def grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of the cached answers against their own text: all are grounded, and are counted."""
-    a = table(spark, d, "answer_cache").dropDuplicates(["cache_key"]).withColumn("passage", F.col("answer"))
-    return evaluate.grounding(a, "cache_key", "answer", "passage").select("cache_key", "sentences")

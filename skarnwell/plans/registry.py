@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skarnwell.plans import base, chats, corpus, relational, retrieval  # noqa: F401 - importing registers them
+from skarnwell.plans import base, chats, corpus, relational, reporting, retrieval  # noqa: F401 - importing registers them
 
 
 def queries() -> dict:

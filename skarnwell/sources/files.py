@@ -39,15 +39,20 @@ def listing(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     return files.select(*columns, *(["content"] if content else []))
 
 
-def admitted(path: Column, length: Column, root: str = "") -> Column:
-    """A file may be indexed: outside skipped folders, of a known kind, within the size for its kind, not hidden."""
+def skip_reason(path: Column, length: Column, root: str = "") -> Column:
+    """Why a file is not indexed, null if it is: folder, hidden, kind or size."""
     inner = F.substring(path, len(root) + 1, 1 << 20)
     name = F.element_at(F.split(path, "/"), -1)
     ext = T.extension(path)
     folders = F.slice(F.split(inner, "/"), 1, F.greatest(F.size(F.split(inner, "/")) - 1, F.lit(0)))
-    small = F.when(ext.isin(*DOCUMENT_EXTENSIONS, *IMAGE_EXTENSIONS), length <= DOCUMENT_BYTES).otherwise(length <= TEXT_BYTES)
+    most = F.when(ext.isin(*DOCUMENT_EXTENSIONS, *IMAGE_EXTENSIONS), DOCUMENT_BYTES).otherwise(TEXT_BYTES)
     kind = ext.isin(*TEXT_EXTENSIONS, *DOCUMENT_EXTENSIONS, *IMAGE_EXTENSIONS) | (ext == "") | F.lower(name).isin(*BARE_NAMES)
-    return ~F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_DIRS))) & ~name.startswith(".") & kind & small
+    return F.when(F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_DIRS))), "folder").when(name.startswith("."), "hidden").when(~kind, "kind").when(length > most, "size")
+
+
+def admitted(path: Column, length: Column, root: str = "") -> Column:
+    """A file may be indexed: outside skipped folders, of a known kind, within the size for its kind, not hidden."""
+    return skip_reason(path, length, root).isNull()
 
 
 def plain_text(data: bytes) -> str | None:
@@ -234,6 +239,21 @@ def obsidian_notes(notes: DataFrame, most: int = 12) -> DataFrame:
     return notes.withColumns({"aliases": F.slice(lists("aliases"), 1, most), "tags": tags, "links": links})
 
 
+def with_aliases(notes: DataFrame) -> DataFrame:
+    """Notes (text, aliases) whose text begins with their aliases, so that they are found by them."""
+    return notes.withColumn("text", F.when(F.size("aliases") > 0, F.concat(F.lit("Also known as: "), F.array_join("aliases", ", "), F.lit("\n\n"), "text")).otherwise(F.col("text")))
+
+
+def vaults(listed: DataFrame) -> DataFrame:
+    """(root) of the folders in a listing (path) that hold a vault's settings."""
+    return listed.select(F.regexp_extract("path", r"^(.*?)/\.obsidian/", 1).alias("root")).filter("root != ''").distinct()
+
+
+def new_archives(archives: DataFrame, seen: DataFrame) -> DataFrame:
+    """Archives (path, content) whose bytes were not taken in before, with their `archive_hash`; seen: path, archive_hash."""
+    return archives.withColumn("archive_hash", F.sha2("content", 256)).join(seen.select("path", "archive_hash"), ["path", "archive_hash"], "left_anti")
+
+
 def golden(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation queries from JSON lines; blank lines are skipped."""
     from skarnwell.schema import GOLDEN
