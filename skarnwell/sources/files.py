@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import io
-import mailbox
 import re
 import tarfile
-import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from email import message_from_bytes, policy
@@ -215,15 +213,14 @@ def mbox_documents(files: DataFrame, prefix: str = "email") -> DataFrame:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 rows = []
-                with tempfile.NamedTemporaryFile() as f:
-                    f.write(data)
-                    f.flush()
-                    box = mailbox.mbox(f.name, create=False)
-                    for k, m in enumerate(box):
-                        subject, text, attached = message_parts(bytes(m))
-                        at = f"{prefix}://{path.rpartition('/')[2]}/{m['Message-ID'] or k}"
-                        rows.append((at, subject, text))
-                        rows += [(f"{at}/{name}", name, body) for name, body in attached]
+                # messages begin at a line "From " after a blank line or at the start; such lines inside a message are quoted with ">"
+                for k, raw in enumerate(re.split(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n", data)[1:]):
+                    raw = re.sub(rb"(?m)^>(>*From )", rb"\1", raw)
+                    subject, text, attached = message_parts(raw)
+                    number = message_from_bytes(raw, policy=policy.default)["Message-ID"] or k
+                    at = f"{prefix}://{path.rpartition('/')[2]}/{number}"
+                    rows.append((at, subject, text))
+                    rows += [(f"{at}/{name}", name, body) for name, body in attached]
                 yield pd.DataFrame(rows, columns=["path", "title", "text"])
 
     return files.select("path", "content").mapInPandas(run, "path string, title string, text string")

@@ -49,7 +49,7 @@ def notion_pages(blocks: DataFrame, page: str, depth: int = 20) -> DataFrame:
             break
         every = every.unionByName(level)
     shown = every.filter("text != ''").groupBy(page).agg(F.sort_array(F.collect_list(F.struct("level", "parent", "pos", "text"))).alias("t"))
-    return shown.select(page, F.trim(F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("text"))
+    return shown.select(page, F.btrim(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), F.lit(" \n")).alias("text"))
 
 
 def notes_dump(dumps: DataFrame, dump: str, separator: str) -> DataFrame:

@@ -3,60 +3,82 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarnwell import schema
+from skarnwell.files import Folder
 from skarnwell.functions import text as T
 
 TABLES = {"documents": schema.DOCUMENTS, "chunks": schema.CHUNKS, "parents": schema.PARENTS, "chats": schema.CHATS, "messages": schema.MESSAGES, "memories": schema.MEMORIES, "corrections": schema.CORRECTIONS, "answer_cache": schema.ANSWER_CACHE, "embed_cache": schema.EMBED_CACHE}
-FORMAT = 1
+FORMAT = "2.0"  # bundles of another major version are refused
+BUCKETS = 64  # parts of a table by a hash of doc_id; an update writes those that it changes
+PARTED = ("documents", "chunks", "parents")
 
 
 class EmbedderMismatch(RuntimeError):
     """The catalog holds vectors of another embedder."""
 
 
+def bucket(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS))
+
+
 class Catalog:
-    """Tables under a folder. A commit writes new versions of the tables it changes and swaps one pointer file; readers of the old snapshot go on undisturbed."""
+    """Tables under a folder of any file system. A commit writes new versions of what it changes and swaps one pointer file; readers of the old snapshot go on undisturbed.
+
+    The pointer names, for every table, the folders that it consists of: one, or one for each bucket of documents.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.spark, self.address, self.folder = spark, str(folder).rstrip("/"), Folder(spark, folder)
+        self.folder.make()
 
     @property
     def manifest(self) -> dict:
         try:
-            return json.loads((self.folder / "CURRENT").read_text())
+            return json.loads(self.folder.read("CURRENT"))
         except FileNotFoundError:
             return {"format": FORMAT, "revision": "", "tables": {}, "meta": {}}
 
-    def table(self, name: str) -> DataFrame:
-        at = self.manifest["tables"].get(name)
-        if at is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        found = self.spark.read.parquet(str(self.folder / at))
-        missing = [f for f in self.spark.createDataFrame([], TABLES[name]).schema if f.name not in found.columns]
-        return found.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else found
-
-    def commit(self, tables: dict[str, DataFrame] | None = None, meta: dict | None = None) -> str:
-        """Writes tables, then swaps the pointer; an interrupted commit leaves the old snapshot in place."""
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or only the given buckets of it."""
+        at = self.manifest["tables"].get(name, {})
+        parts = [v for k, v in at.items() if buckets is None or k == "all" or int(k) in buckets]
+        empty = self.spark.createDataFrame([], TABLES[name])
+        if not parts:
+            return empty
+        found = self.spark.read.parquet(*[f"{self.address}/{x}" for x in parts])
+        missing = [f for f in empty.schema if f.name not in found.columns]
+        found = found.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else found
+        return found.filter(bucket(F.col("doc_id")).isin(buckets)) if buckets is not None and "all" in at else found
+
+    def commit(self, tables: dict[str, DataFrame] | None = None, meta: dict | None = None, touched: list[int] | None = None) -> str:
+        """Writes tables, then swaps the pointer; an interrupted commit leaves the old snapshot in place.
+
+        With touched, the tables of documents hold the new rows of these buckets only, and the other buckets stay as they are.
+        """
         m = self.manifest
         revision = uuid.uuid4().hex
         for name, df in (tables or {}).items():
-            df.write.parquet(str(self.folder / f"{name}-{revision}"))
-            m["tables"][name] = f"{name}-{revision}"
+            new = f"{name}-{revision}"
+            if name not in PARTED:
+                df.write.parquet(f"{self.address}/{new}")
+                m["tables"][name] = {"all": new}
+                continue
+            old = m["tables"].get(name, {})
+            if "all" in old and touched is not None:
+                raise ValueError(f"{name} is not in buckets")
+            df.withColumn("bucket", bucket(F.col("doc_id"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.address}/{new}")
+            kept = {} if touched is None else {k: v for k, v in old.items() if int(k) not in touched}
+            written = [x for x in Folder(self.spark, f"{self.address}/{new}").names(folders=True) if x.startswith("bucket=")]
+            m["tables"][name] = kept | {x.partition("=")[2]: f"{new}/{x}" for x in written}
         m["meta"].update(meta or {})
-        m |= {"revision": revision, "time": time.time()}
-        new = self.folder / f"CURRENT.{revision}"
-        new.write_text(json.dumps(m))
-        os.replace(new, self.folder / "CURRENT")
+        m |= {"format": FORMAT, "revision": revision, "time": time.time()}
+        self.folder.write("CURRENT", json.dumps(m))
         return revision
 
     def ensure_embedder(self, name: str, dim: int) -> None:
@@ -70,52 +92,60 @@ class Catalog:
     def backup(self, keep: int = 5, protect: str | None = None) -> str:
         """Keeps the current pointer as a backup; of the backups the newest `keep` and a protected one remain. Tables are shared, not copied."""
         name = f"BACKUP-{time.time_ns()}"
-        shutil.copyfile(self.folder / "CURRENT", self.folder / name)
-        for old in sorted(self.folder.glob("BACKUP-*"), reverse=True)[keep:]:
-            if old.name != protect:
-                old.unlink()
+        self.folder.write(name, self.folder.read("CURRENT"))
+        for old in sorted(self._backups(), reverse=True)[keep:]:
+            if old != protect:
+                self.folder.remove(old)
         return name
 
+    def _backups(self) -> list[str]:
+        return [n for n in self.folder.names(folders=False) if n.startswith("BACKUP-")]
+
     def restore(self, name: str) -> None:
         """Goes back to a backup, after a backup of what there is."""
         self.backup(protect=name)
-        new = self.folder / f"CURRENT.{uuid.uuid4().hex}"
-        shutil.copyfile(self.folder / name, new)
-        os.replace(new, self.folder / "CURRENT")
+        self.folder.write("CURRENT", self.folder.read(name))
 
     def vacuum(self) -> list[str]:
-        """Removes tables that neither the pointer nor a backup names."""
-        used = set()
-        for p in [self.folder / "CURRENT", *self.folder.glob("BACKUP-*")]:
-            used |= set(json.loads(p.read_text())["tables"].values())
-        gone = [p for p in self.folder.iterdir() if p.is_dir() and p.name not in used]
-        for p in gone:
-            shutil.rmtree(p)
-        return sorted(p.name for p in gone)
+        """Removes parts of tables that neither the pointer nor a backup names, and returns the folders that are gone."""
+        used = {part for n in ["CURRENT", *self._backups()] for at in json.loads(self.folder.read(n))["tables"].values() for part in at.values()}
+        tops = {x.partition("/")[0] for x in used}
+        gone = [n for n in self.folder.names(folders=True) if n not in tops]
+        for n in gone:
+            self.folder.remove(n)
+        for top in sorted(tops - used):
+            parts = Folder(self.spark, f"{self.address}/{top}")
+            for x in parts.names(folders=True):
+                if f"{top}/{x}" not in used:
+                    parts.remove(x)
+                    gone.append(f"{top}/{x}")
+        return sorted(gone)
 
     def export_bundle(self, target: str) -> None:
-        """Copies the current snapshot and its manifest."""
-        m, to = self.manifest, Path(target)
-        to.mkdir(parents=True)
+        """Copies the current snapshot and its manifest; the target must not exist."""
+        m, to = self.manifest, Folder(self.spark, target)
+        if to.exists("CURRENT"):
+            raise FileExistsError(target)
+        to.make()
         for at in m["tables"].values():
-            shutil.copytree(self.folder / at, to / at)
-        (to / "CURRENT").write_text(json.dumps(m))
+            for part in at.values():
+                to.copy_from(self.folder, part)
+        to.write("CURRENT", json.dumps(m))
 
     def import_bundle(self, source: str) -> None:
-        """Takes over a bundle, after a backup; refuses one of another format or embedder."""
-        m = json.loads((Path(source) / "CURRENT").read_text())
-        mine = self.manifest
-        if m["format"] != FORMAT:
+        """Takes over a bundle, after a backup; refuses one of another major version or embedder."""
+        bundle = Folder(self.spark, source)
+        m, mine = json.loads(bundle.read("CURRENT")), self.manifest
+        if str(m["format"]).partition(".")[0] != FORMAT.partition(".")[0]:
             raise ValueError(f"bundle of format {m['format']}; this is {FORMAT}")
         if mine["meta"].get("embedder") and m["meta"].get("embedder") != mine["meta"]["embedder"]:
             raise EmbedderMismatch(f"bundle of {m['meta'].get('embedder')}; this catalog is of {mine['meta']['embedder']}")
         if mine["revision"]:
             self.backup()
         for at in m["tables"].values():
-            shutil.copytree(Path(source) / at, self.folder / at, dirs_exist_ok=True)
-        new = self.folder / f"CURRENT.{uuid.uuid4().hex}"
-        new.write_text(json.dumps(m))
-        os.replace(new, self.folder / "CURRENT")
+            for part in at.values():
+                self.folder.copy_from(bundle, part)
+        self.folder.write("CURRENT", json.dumps(m))
 
 
 def classify(documents: DataFrame, found: DataFrame, config: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skarnwell import ingest
+from skarnwell.files import Folder
 from skarnwell.operators.embed import HashingEmbedder
 from skarnwell.sources import files, registry, web
 from skarnwell.store import Catalog, EmbedderMismatch, classify, missing_local
@@ -67,6 +68,32 @@ def test_backup_restore_export(spark, tmp_path):
     for b in (tmp_path / "cat").glob("BACKUP-*"):
         b.unlink()
     assert len(cat.vacuum()) == 1
+    with pytest.raises(FileExistsError):
+        cat.export_bundle(str(tmp_path / "bundle"))
+    bundle = Folder(spark, str(tmp_path / "bundle"))
+    bundle.write("CURRENT", bundle.read("CURRENT").replace('"2.0"', '"2.7"'))
+    other.import_bundle(str(tmp_path / "bundle"))
+    bundle.write("CURRENT", bundle.read("CURRENT").replace('"2.7"', '"3.0"'))
+    with pytest.raises(ValueError):
+        other.import_bundle(str(tmp_path / "bundle"))
+
+
+def test_updates_write_only_their_buckets(spark, tmp_path):
+    cat, e = Catalog(spark, str(tmp_path / "cat")), HashingEmbedder(8)
+    many = spark.createDataFrame([(f"p{k}", f"text {k}", 1.0) for k in range(100)], "path string, text string, mtime double")
+    assert ingest.index(cat, many, "s", e) == {"new": 100}
+    before = cat.manifest["tables"]["chunks"]
+    assert ingest.index_one(cat, "p7", "other", 2.0, "s", e)["changed"] == 1
+    after = cat.manifest["tables"]["chunks"]
+    assert len(before) > 20 and sum(before[k] != after[k] for k in before) == 1 and before.keys() == after.keys()
+    assert ingest.index_one(cat, "p7", "third", 2.0, "t", e) == {"new": 1}  # the same path in another source
+    assert sorted(r.text for r in cat.table("chunks").filter("text not like 'text %'").collect()) == ["other", "third"] and cat.table("documents").count() == 101
+    assert ingest.index_one(cat, "p7", "other", 3.0, "s", e)["touched"] == 1
+    assert {(r.source, r.mtime) for r in cat.table("documents").filter("path = 'p7'").collect()} == {("s", 3.0), ("t", 2.0)}
+    gone = cat.vacuum()
+    assert gone and cat.table("chunks").count() == 101
+    s = spark.createDataFrame([("/r/a.md", 1, "x"), ("/r/b.md", 1, None), ("/r/c.bin", 1, None)], "path string, length long, text string")
+    assert {r.path: r.reason for r in ingest.skipped(s).collect()} == {"/r/b.md": "no text", "/r/c.bin": "kind"}
 
 
 def test_classify_and_missing(spark):
