@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarnwell.functions import text as T
-from skarnwell.operators import dense, embed, evaluate, fusion, lexical
+from skarnwell.operators import approximate, dense, embed, evaluate, fusion, lexical
 from skarnwell.plans.base import CH, DIM, GOLDEN, INDEX, NOW, QUESTIONS, chunks, documents, golden, query, questions, sql_bm25, sql_dense, sql_path, sql_tokens, table
 
 POOL = 50
@@ -73,6 +73,12 @@ def dense_batch(spark: SparkSession, d: str) -> DataFrame:
     return dense.dense_topk(chunks(spark, d, "embedding"), "id", "embedding", questions(spark, d), "cache_key", "embedding", DIM, 10)
 
 
+@query(f"WITH {CH}, {QUESTIONS}, {sql_dense('lane', 'questions', 'cache_key', 'embedding', 10)} SELECT cache_key, id, score, rank FROM lane")
+def dense_policy(spark: SparkSession, d: str) -> DataFrame:
+    """The dense lane as the policy chooses it: exact up to 200,000 vectors, by cells beyond."""
+    return approximate.search(chunks(spark, d, "embedding"), "id", "embedding", questions(spark, d), "cache_key", "embedding", DIM, 10)
+
+
 VEC = "vec AS (SELECT vec_id, embedding, label FROM embeddings), probes AS (SELECT vec_id AS probe, embedding AS pv, label AS pl FROM embeddings WHERE vec_id % 20 = 0)"
 
 

@@ -81,7 +81,7 @@ def office_text(data: bytes) -> str:
 
 
 def sheet_text(data: bytes) -> str:
-    """Rows of XLSX as `rN: a | b` under `[sheet] title`; sheets in numeric order, dates where a cell's format is one."""
+    """Rows of XLSX as `rN: a | b` under `[sheet] title` and `columns:` with the first row; empty cells and sheets are left out; sheets in numeric order, dates where a cell's format is one."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
 
@@ -103,7 +103,7 @@ def sheet_text(data: bytes) -> str:
         out = []
         sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number_in)
         for k, n in enumerate(sheets):
-            lines = [f"[sheet] {titles[k] if k < len(titles) else _number_in(n)}"]
+            lines: list[str] = []
             for row in (e for e in _safe_xml(z.read(n)).iter() if local(e) == "row"):
                 cells = []
                 for c in (e for e in row if local(e) == "c"):
@@ -115,9 +115,13 @@ def sheet_text(data: bytes) -> str:
                     elif v and c.get("t") in (None, "n") and int(c.get("s", 0)) in dates:
                         v = excel_date(float(v))
                     cells.append(v.strip())
-                if any(cells):
+                cells = [x for x in cells if x]
+                if cells and not lines and len(cells) > 1:
+                    lines.append("columns: " + " | ".join(cells))  # said again on top, for chunks that hold later rows only
+                if cells:
                     lines.append(f"r{row.get('r', len(lines))}: " + " | ".join(cells))
-            out.append("\n".join(lines))
+            if lines:
+                out.append("\n".join([f"[sheet] {titles[k] if k < len(titles) else _number_in(n)}", *lines]))
     return "\n\n".join(out)
 
 

@@ -110,10 +110,11 @@ class Catalog:
         """Removes parts of tables that neither the pointer nor a backup names, and returns the folders that are gone."""
         used = {part for n in ["CURRENT", *self._backups()] for at in json.loads(self.folder.read(n))["tables"].values() for part in at.values()}
         tops = {x.partition("/")[0] for x in used}
+        tops.add(f"index-{self.manifest['revision']}")  # see indexes.py
         gone = [n for n in self.folder.names(folders=True) if n not in tops]
         for n in gone:
             self.folder.remove(n)
-        for top in sorted(tops - used):
+        for top in sorted({x.partition("/")[0] for x in used} - used):
             parts = Folder(self.spark, f"{self.address}/{top}")
             for x in parts.names(folders=True):
                 if f"{top}/{x}" not in used:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from skarnwell import answer as A
 from skarnwell.operators import conversation, embed, lexical
@@ -89,3 +90,38 @@ def test_filter_grammar_in_a_batch_equals_it_row_by_row(spark):
     for q, (text, folder, source, meta) in HARD.items():
         t, f = fusion.parse_filters(q)
         assert (t, f.folder, f.source, ";".join(f"{k}={v}" for k, v in f.meta.items())) == (text, folder, source, meta)
+
+
+def test_search_by_cells(spark):
+    """Clusters of different density, one with a third of the vectors: recall, and cells that are divided give the same."""
+    import numpy as np
+
+    from skarnwell.operators import approximate as P
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 32))
+    x = np.concatenate([centres[rng.integers(0, 60, 4000)] + 0.4 * rng.standard_normal((4000, 32)), centres[0] + 0.2 * rng.standard_normal((2000, 32))]).astype(np.float32)
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)] + [(None, x[0].tolist()), (9999, None), (9998, [0.0] * 32)], "k long, v array<float>")
+    q = v.filter("k % 50 = 0").select(F.col("k").alias("q"), F.col("v").alias("qv"))
+    exact = {(r.q, r.k) for r in P.search(v, "k", "v", q, "q", "qv", 32, 10).collect()}
+    near = {(r.q, r.k) for r in P.search(v, "k", "v", q, "q", "qv", 32, 10, exact_rows=100, cells=100).collect()}
+    split = {(r.q, r.k) for r in P.search(v, "k", "v", q, "q", "qv", 32, 10, exact_rows=100, cells=100, cell_rows=50).collect()}
+    assert len(exact) == 1200 and len(exact & near) >= 0.95 * len(exact) and near == split
+    assert P.backend(10) == "exact" and P.backend(10**7) == "cells" and P.backend(10**7, scoped=True) == "exact"
+
+
+def test_stored_index_of_a_catalog(spark, tmp_path):
+    from skarnwell import ingest
+    from skarnwell.indexes import indexed_corpus
+    from skarnwell.store import Catalog
+
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    assert indexed_corpus(cat).index is None
+    found = spark.createDataFrame([("a", "red fox rate_limit", 1.0), ("b", "rate of the limit", 1.0)], "path string, text string, mtime double")
+    ingest.index(cat, found, "s", embed.HashingEmbedder(8))
+    c = indexed_corpus(cat)
+    q = spark.createDataFrame([("q", "rate_limit"), ("r", "limit")], "qid string, query string")
+    hits = lambda corpus: sorted((r.qid, r.path, r.score) for r in search(corpus, q, "qid", "query", NOW).collect())
+    with_index, without = hits(c), hits(Corpus(c.documents, c.chunks, c.parents))
+    assert with_index == without and [(a, b) for a, b, _ in with_index] == [("q", "a"), ("r", "a"), ("r", "b")]
+    assert cat.vacuum() == [] and indexed_corpus(cat).index is not None

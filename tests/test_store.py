@@ -132,7 +132,7 @@ def test_archive_office_mail(spark, tmp_path):
         "xl/styles.xml": '<styleSheet><cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
         "xl/workbook.xml": '<workbook><sheets><sheet name="Plan"/></sheets></workbook>',
     })
-    assert files.sheet_text(book) == "[sheet] Plan\nr2: name | 2023-03-15 | x"
+    assert files.sheet_text(book) == "[sheet] Plan\ncolumns: name | 2023-03-15 | x\nr2: name | 2023-03-15 | x"
     assert files.read_bytes("x.xlsx", office(**{"xl/worksheets/sheet1.xml": "<!DOCTYPE x><worksheet/>"})) is None
     assert files.read_bytes("x.pdf", b"%PDF") is None and files.read_bytes("x.txt", b"\xff ok") == "� ok"
     box = b"From a@b Thu Jan  1 00:00:00 2026\nFrom: a@b\nSubject: Hi\nDate: Thu, 01 Jan 2026 00:00:00 +0000\nMessage-ID: <1>\n\nBody\n\n"
