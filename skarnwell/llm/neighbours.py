@@ -172,10 +172,17 @@ def _block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": [unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64)).tobytes()]})
 
 
-def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: np.ndarray, only: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+def bars(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """What the cosine of each vector's k-th nearest of all is at least: that of its k-th nearest in the sample, itself not counted."""
+    if len(sample) <= k:
+        return np.full(len(x), -1.5, np.float32)
+    return np.concatenate([np.partition(x[a : a + 256] @ sample.T, -k - 1, axis=1)[:, -k - 1] for a in range(0, len(x), 256)] or [np.zeros(0, np.float32)])
+
+
+def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: np.ndarray, sample: np.ndarray, k: int, only: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """The visits of every vector with its code; with only, the visits to those leaves with the stored vector as code.
 
-    probes: the number of visits by the vector's node in the first tree, as of probes_needed.
+    probes: the number of visits by the vector's node in the first tree, as of probes_needed. bar: see bars(), by the sample given (none: no bar).
     """
     down = forest[0].depth - int(len(probes)).bit_length() + 1
     for pdf in batches:
@@ -185,6 +192,8 @@ def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: np.ndarr
             x = unit(v.astype(np.float64))
             names = batch["class"].to_numpy()
             asks = batch["asks"].to_numpy(bool)
+            bar = np.full(len(x), -1.5, np.float32)
+            bar[asks] = bars(x[asks], sample, k)
             code = np.array([c.tobytes() for c in (codes(x) if only is None else v)], dtype=object)
             wanted = np.where(asks, probes[(_leaf(forest[0], x) >> down) - len(probes)], 0)  # others lie in their own leaves only
             for most in np.unique(wanted):
@@ -195,10 +204,10 @@ def _route(batches: Iterator[pd.DataFrame], forest: list[Tree], probes: np.ndarr
                     leaf, own = search_leaves(forest, x[part], int(most)) if most else _own_leaves(forest, x[part])
                     rows = np.repeat(part, leaf.shape[1])
                     keep = slice(None) if only is None else np.isin(leaf.ravel(), only)
-                    yield pd.DataFrame({"leaf": leaf.ravel()[keep], "own": own.ravel()[keep], "asks": asks[rows[keep]], "class": names[rows[keep]], "code": code[rows[keep]]})
+                    yield pd.DataFrame({"leaf": leaf.ravel()[keep], "own": own.ravel()[keep], "asks": asks[rows[keep]], "bar": bar[rows[keep]], "class": names[rows[keep]], "code": code[rows[keep]]})
 
 
-def _near(c: np.ndarray, who: np.ndarray, at: np.ndarray, k: int, least: float | None, error: float, most: int | None) -> tuple[list, list, list]:
+def _near(c: np.ndarray, who: np.ndarray, at: np.ndarray, k: int, lowest: np.ndarray, error: float, most: int | None) -> tuple[list, list, list]:
     """For each of the rows `who`, the rows of `at` that are among its k best or may be, as (left, right); and the rows with more than `most` of them."""
     left, right, wide = [], [], []
     for a in range(0, len(who) if len(at) else 0, 1024):
@@ -207,7 +216,7 @@ def _near(c: np.ndarray, who: np.ndarray, at: np.ndarray, k: int, least: float |
         n = np.searchsorted(at, rows)
         itself = (n < len(at)) & (at[np.minimum(n, len(at) - 1)] == rows)
         s[np.flatnonzero(itself), n[itself]] = -2
-        bar = np.full(len(s), -1.5 if least is None else least - error, s.dtype)
+        bar = (lowest[rows] - error).astype(s.dtype)
         if s.shape[1] > k:
             full = np.flatnonzero((s >= bar[:, None]).sum(1) > k)
             if len(full):
@@ -259,10 +268,11 @@ def _candidates(pdf: pd.DataFrame, k: int, least: float | None, exact: bool = Fa
     c = np.frombuffer(b"".join(pdf["code"]), dtype=np.float32 if exact else np.int8).reshape(len(pdf), -1).astype(np.float64 if exact else np.float32)
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     at, who = np.flatnonzero(pdf["own"]), np.flatnonzero(pdf["asks"])
+    lowest = np.maximum(pdf["bar"].to_numpy(np.float64), -1.5 if least is None else least)
     parts = _divided(c, who, at, k, least, leaf_rows) if len(at) > SPLIT * leaf_rows and len(who) else [(who, at)]
     left, right, wide = [], [], []
     for some, there in parts:
-        x, y, z = _near(c, some, there, k, least, 1e-12 if exact else CODE_ERROR, None if exact else WIDE)
+        x, y, z = _near(c, some, there, k, lowest, 1e-12 if exact else CODE_ERROR, None if exact else WIDE)
         left, right, wide = left + x, right + y, wide + z
     if not left:
         return pd.DataFrame({"leaf": [], "a": [], "b": []})
@@ -301,14 +311,16 @@ def most_similar(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 1
     near = max(1, math.ceil(k * len(x) / max(1, count)))
     visits = np.array([probes], np.int64) if probes else probes_needed(forest, x, min(k, near), min_cosine) if depth else np.array([PROBES], np.int64)
     classes = ready.groupBy("class").agg(F.first("vector").alias("vector"), F.max("asks").alias("asks"))
-    routed = "leaf long, own boolean, asks boolean, class binary, code binary"
-    nodes = classes.mapInPandas(lambda it: _route(it, forest, visits), routed)
+    routed = "leaf long, own boolean, asks boolean, bar float, class binary, code binary"
+    # for a stated query set the sample is worth comparing with: what lies under its bars need not be ranked. It is bounded by sample_rows
+    known = x if asked is not None else x[:0]
+    nodes = classes.mapInPandas(lambda it: _route(it, forest, visits, known, k), routed)
     found = checkpointed(nodes.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine, leaf_rows=leaf_rows), "leaf long, a binary, b binary").distinct())
     pairs = found.filter("b is not null").select("a", "b")
     dense = found.filter("b is null").select("leaf", F.col("a").alias("class"), F.lit(True).alias("wide"))
     only = np.array([r.leaf for r in dense.select("leaf").distinct().collect()], np.int64)
     if len(only):
-        stored = classes.mapInPandas(lambda it: _route(it, forest, visits, only), routed)
+        stored = classes.mapInPandas(lambda it: _route(it, forest, visits, known, k, only), routed)
         stored = stored.join(dense, ["leaf", "class"], "left").withColumn("asks", F.coalesce("wide", F.lit(False))).filter("own or asks").drop("wide")
         more = stored.groupBy("leaf").applyInPandas(lambda pdf: _candidates(pdf, k, min_cosine, exact=True, leaf_rows=leaf_rows), "leaf long, a binary, b binary")
         pairs = checkpointed(pairs.unionByName(more.select("a", "b")).distinct())
