@@ -100,3 +100,27 @@ def test_bm25_with_bars_scopes_phrases_and_repeated_words(spark, many):
     assert plain(lexical.bm25(t, "id", "text", q, "qid", "q", 7)) == plain(lexical.bm25(t, "id", "text", q, "qid", "q", 7, index=index))
     scope = q.select("qid").crossJoin(t.select("id")).filter("(id + qid) % 5 = 0")
     assert plain(lexical.bm25(t, "id", "text", q, "qid", "q", 7, scope=scope)) == plain(lexical.bm25(t, "id", "text", q, "qid", "q", 7, scope=scope, index=index))
+
+
+def test_policy_is_exact_where_most_cells_would_be_searched(spark):
+    """Vectors without near neighbours: cells would send every query nearly everywhere, and still miss some."""
+    from skarnwell.operators import approximate
+
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.standard_normal((3000, 32)).astype(np.float32))], "k long, v array<float>")
+    q = v.filter("k % 30 = 0").select(F.col("k").alias("q"), F.col("v").alias("qv"))
+    found = approximate.search(v, "k", "v", q, "q", "qv", 32, 10, exact_rows=100, cells=200)
+    assert sorted(found.collect()) == sorted(dense.dense_topk(v, "k", "v", q, "q", "qv", 32, 10).collect())
+
+
+def test_queries_go_to_their_cells_in_bounded_batches(monkeypatch):
+    import pandas as pd
+
+    from skarnwell.operators import approximate
+
+    monkeypatch.setattr(approximate, "MOST_ROWS", 100)
+    rng = np.random.default_rng(5)
+    cells = dense._unit(rng.standard_normal((50, 8)))
+    asked = pd.DataFrame({"q": range(70), "qv": list(rng.standard_normal((70, 8)))})
+    sent = list(approximate._cells_of(cells, 20, "qv")(iter([asked])))
+    assert sum(map(len, sent)) == 1400 and max(map(len, sent)) <= 100
