@@ -117,12 +117,17 @@ def rrf(lanes: list[tuple[str, DataFrame]], query_id: str, key: str, weights: di
 
 
 def adjusted(fused: DataFrame, query_id: str, key: str, chunks: DataFrame, documents: DataFrame, now: float, top: int) -> DataFrame:
-    """The fused rows with their document, `score` = fused x recency x metadata, and `rank`; ties as they stood in the first lane that found them."""
-    docs = documents.select("doc_id", "path", "source", "mtime", "metadata")
-    rows = fused.join(chunks.select(F.col("id").alias(key), "doc_id", "ordinal", "parent_ordinal", "line_start"), key).join(docs, "doc_id")
-    rows = rows.withColumn("score", F.round(F.col("fused") * recency_factor(F.col("mtime"), F.lit(now)) * metadata_factor(F.col("metadata")), 9))
+    """The fused rows with their document, `score` = fused x recency x metadata, and `rank`; ties as they stood in the first lane that found them.
+
+    Before the cut a row carries only its factors; what else is known of chunks and documents joins the rows that are left.
+    """
+    places = chunks.select(F.col("id").alias(key), "doc_id", "ordinal", "parent_ordinal", "line_start")
+    factors = documents.select("doc_id", recency_factor(F.col("mtime"), F.lit(now)).alias("_recency"), metadata_factor(F.col("metadata")).alias("_metadata"))
+    rows = fused.join(places.select(key, "doc_id").join(factors, "doc_id").drop("doc_id"), key)
+    rows = rows.withColumn("score", F.round(F.col("fused") * F.col("_recency") * F.col("_metadata"), 9)).drop("_recency", "_metadata")
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc("first_lane"), F.asc("first_rank"))
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top)
+    best = rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top)
+    return best.join(places, key).join(documents.select("doc_id", "path", "source", "mtime", "metadata"), "doc_id")
 
 
 def diversify(ranked: DataFrame, query_id: str, group: str, top: int, per_group: int = 2) -> DataFrame:

@@ -37,7 +37,7 @@ def equals_sql(spark, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["hyde_and_sub_lanes"])
+@pytest.mark.parametrize("name", ["hyde_and_sub_lanes", "hybrid_search"])
 def test_lanes_with_bars_equal_sql(spark, many, name):
     assert equals_sql(spark, name)
     assert len(many) >= 6  # several blocks of queries
@@ -124,3 +124,17 @@ def test_queries_go_to_their_cells_in_bounded_batches(monkeypatch):
     asked = pd.DataFrame({"q": range(70), "qv": list(rng.standard_normal((70, 8)))})
     sent = list(approximate._cells_of(cells, 20, "qv")(iter([asked])))
     assert sum(map(len, sent)) == 1400 and max(map(len, sent)) <= 100
+
+
+def test_only_the_best_rows_meet_paths_and_metadata(spark):
+    """Ranking 3,000 fused rows, no more than the best are joined with what documents hold."""
+    from skarnwell.operators import fusion
+
+    fused = spark.range(3000).selectExpr("id % 3 AS q", "id", "1 / (60 + id DIV 3) AS fused", "'a' AS lanes", "0L AS first_lane", "id AS first_rank")
+    c = spark.range(3000).selectExpr("id", "id DIV 2 AS doc_id", "1 AS ordinal", "1 AS parent_ordinal", "1 AS line_start")
+    d = spark.range(1400).selectExpr("id AS doc_id", "'p' AS path", "'s' AS source", "0D AS mtime", "map('status', 'draft') AS metadata")
+    got = fusion.adjusted(fused, "q", "id", c, d, 1e9, 20).select("q", "rank", "id", "path", "doc_id", "score").collect()
+    assert sorted((r.q, r["rank"], r.id) for r in got) == [(q, n + 1, 3 * n + q) for q in range(3) for n in range(20)] and {r.path for r in got} == {"p"}
+    plan = fusion.adjusted(fused, "q", "id", c, d, 1e9, 20)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    ranking = next(n for n, line in enumerate(plan) if "Window [" in line)
+    assert not any("AS path" in line for line in plan[ranking:])
