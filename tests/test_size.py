@@ -37,7 +37,7 @@ def equals_sql(spark, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["hyde_and_sub_lanes", "hybrid_search", "retrieve", "diversify", "lane_membership", "prompts", "lexical_rerank", "rrf_fuse", "model_rerank"])
+@pytest.mark.parametrize("name", ["hyde_and_sub_lanes", "hybrid_search", "retrieve", "diversify", "lane_membership", "prompts", "lexical_rerank", "rrf_fuse", "model_rerank", "rrf_weighted"])
 def test_lanes_with_bars_equal_sql(spark, many, name):
     assert equals_sql(spark, name)
     assert len(many) >= 6  # several blocks of queries
