@@ -138,3 +138,42 @@ def test_only_the_best_rows_meet_paths_and_metadata(spark):
     plan = fusion.adjusted(fused, "q", "id", c, d, 1e9, 20)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     ranking = next(n for n, line in enumerate(plan) if "Window [" in line)
     assert not any("AS path" in line for line in plan[ranking:])
+
+
+def test_phrases_as_chains_of_words():
+    """Phrases that overlap, begin alike, are part of each other, and do not go on in the next text; one pass over a batch however many begin with a word."""
+    import pyarrow as pa
+
+    vocabulary = {x: n for n, x in enumerate(["a", "a b", "a b c", "a a", "b c", "d", "c a", "x y z"])}
+    texts = [["a", "a", "a", "b", "c"], ["c"], ["a", "b"], None, [], ["b", "c", "a", "b", "q", "c"], ["x", "y"], ["z", "d"], ["a", "b", "c", "a", "b", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], names=["k", "t"])
+    (got,) = lexical._counted_in_arrow(vocabulary)(iter([batch]))
+    for t, dl, terms, times in zip(texts, *(got.column(c).to_pylist() for c in ("dl", "terms", "times")), strict=True):
+        t = t or []
+        want = {n: sum(t[k : k + len(p)] == p for k in range(len(t))) for x, n in vocabulary.items() for p in [x.split(" ")]}
+        assert dl == len(t) and dict(zip(terms, times, strict=True)) == {n: c for n, c in want.items() if c}
+
+
+def test_queries_that_ask_the_same_are_searched_once(spark, many):
+    """Of 60 queries 20 are different, for words, vectors and paths; every one has its rows."""
+    rng = np.random.default_rng(6)
+    t = spark.createDataFrame([(n, f"w{n % 7} w{n % 11} rest", rng.standard_normal(4).tolist(), n, 0) for n in range(300)], "id long, text string, v array<double>, doc_id long, ordinal int").repartition(5).localCheckpoint()
+    q = spark.createDataFrame([(n, f"w{n % 20 % 7} w{n % 20} rest", [float(n % 20 == k) + 0.1 * (n % 20) for k in range(4)]) for n in range(60)], "qid long, q string, qv array<double>")
+    d = t.select("doc_id", F.concat(F.lit("a/rest"), F.col("doc_id") % 20, F.lit("/w"), F.col("doc_id") % 11).alias("path"))
+    p = q.withColumn("q", F.concat(F.lit("rest"), F.col("qid") % 20))
+    for rows, most in ((lexical.bm25(t, "id", "text", q, "qid", "q", 3), 20), (dense.dense_topk(t, "id", "v", q, "qid", "qv", 4, 3), 20), (lexical.path_lane(t, d, p, "qid", "q", 3), 20)):
+        by = {}
+        for r in rows.collect():
+            by.setdefault(r.qid, []).append((r["rank"], r.id, r.score))
+        assert sorted(by) == list(range(60)) and all(sorted(by[n]) == sorted(by[n % 20]) and len(by[n]) == 3 for n in range(60))
+        asked, many[:] = sum(n for _, n, _ in many), []
+        assert asked <= most
+
+
+def test_first_bars_of_vectors_are_reached(spark):
+    """The bar of a sample is never over the exact rounded score of the query's best rows."""
+    rng = np.random.default_rng(7)
+    m, x = (dense._unit(rng.standard_normal(n)) for n in ((600, 16), (9000, 16)))
+    bar = dense._bars(spark, m, x.astype(np.float32), 10, 6)
+    true = np.sort(np.round(m @ x.T, 6), axis=1)[:, -10]
+    assert (bar <= true).all() and (bar > true - 1e-4).all()
