@@ -33,9 +33,9 @@ def _fold_table() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents. Texts of ASCII characters only have none to drop."""
     source, target = _fold_table()
-    return F.regexp_replace(F.translate(F.lower(text), source, target), MARKS, "")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.regexp_replace(F.translate(F.lower(text), source, target), MARKS, ""))
 
 
 def index_tokens(text: Column) -> Column:

@@ -177,3 +177,45 @@ def test_first_bars_of_vectors_are_reached(spark):
     bar = dense._bars(spark, m, x.astype(np.float32), 10, 6)
     true = np.sort(np.round(m @ x.T, 6), axis=1)[:, -10]
     assert (bar <= true).all() and (bar > true - 1e-4).all()
+
+
+@pytest.mark.parametrize("many_postings", [0.0, 0.1])
+def test_words_that_queries_share_are_added_up_once(many_postings, monkeypatch):
+    """Every query gets each of its words once, from shared sums or for itself; of alike queries most words are added up once for all, and the best are those of sums made one by one."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "MANY_POSTINGS", many_postings)
+    rng = np.random.default_rng(8)
+    asked = [[*range(8 * (n % 3), 8 * (n % 3) + 8), 30 + n % 5, 40 + n] for n in range(60)] + [[3, 50], [7], [120]]
+    terms, times = np.concatenate(asked), np.array([1.0 + (x % 11 == 0) for q in asked for x in q])
+    stops, idf = np.cumsum([len(x) for x in asked]), np.linspace(0.2, 3, 130)
+    steps = lexical._shared_sums(stops, terms, times, idf)
+    held, got = [], {}
+    for j, level, places in steps:
+        if j < 0:
+            held = [*held[: level - 1], places]
+        else:
+            assert level <= len(held)
+            got[j] = sorted([i for x in held[:level] for i in x] + places, key=lambda i: terms[i])
+    mine = lambda places: [(terms[i], times[i]) for i in places]
+    assert {j: mine(x) for j, x in got.items()} == {j: sorted(mine(range(stops[j] - len(x), stops[j]))) for j, x in enumerate(asked)}
+    assert sum(len(x) for _, _, x in steps) < len(terms) / 2  # words added up in all
+    texts = [np.sort(rng.choice(120, 25, replace=False)) for _ in range(200)]
+    tf = [rng.integers(1, 4, 25) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([40] * 200, pa.int32()), pa.array(texts, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], names=["k", "dl", "terms", "times"])
+    found = {}
+    for x in lexical._best_texts(stops, terms, times, idf, 40.0, 5, lexical.LOWEST, steps)(iter([batch])):
+        for q, k, s in zip(*(x.column(c)[0].as_py() for c in ("q", "k", "score")), strict=True):
+            found.setdefault(q, []).append((round(-s, 7), k))
+    for j, x in enumerate(asked):
+        score = [sum(t * idf[w] * f * 2.2 / (f + 1.2) for w, t in zip(x, times[stops[j] - len(x) : stops[j]], strict=True) for f in b[a == w]) for a, b in zip(texts, tf, strict=True)]
+        assert found.get(j, []) == sorted((round(-s, 7), k) for k, s in enumerate(score) if s > 0)[:5]
+
+
+def test_places_over_the_lows_in_memory_used_again():
+    product, over = dense._buffered(500)
+    rng = np.random.default_rng(9)
+    for q, x in ((7, 13), (20, 25), (1, 1), (3, 0), (7, 13), (19, 26)):
+        a, b = (rng.standard_normal((n, 4)).astype(np.float32) for n in (q, x))
+        s, low = product(a, b), rng.standard_normal(q).astype(np.float32)
+        assert np.allclose(s, a @ b.T) and over(s, low).tolist() == np.flatnonzero((s >= low[:, None]).ravel()).tolist()
