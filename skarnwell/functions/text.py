@@ -42,6 +42,12 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(INDEX_TOKEN), F.lit(0))
 
 
+def token_text(text: Column) -> Column:
+    """The tokens of index_tokens with spaces between them; a text of ASCII characters only as it is, since its tokens are runs of letters and digits, whatever their case."""
+    ascii_only = F.is_valid_utf8(text) & (F.octet_length(text) == F.length(text))
+    return F.when(ascii_only, text).otherwise(F.regexp_replace(fold(text), INDEX_TOKEN.replace("[", "[^", 1), " "))
+
+
 def query_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(QUERY_TOKEN), F.lit(0))
 

@@ -219,3 +219,43 @@ def test_places_over_the_lows_in_memory_used_again():
         a, b = (rng.standard_normal((n, 4)).astype(np.float32) for n in (q, x))
         s, low = product(a, b), rng.standard_normal(q).astype(np.float32)
         assert np.allclose(s, a @ b.T) and over(s, low).tolist() == np.flatnonzero((s >= low[:, None]).ravel()).tolist()
+
+
+@pytest.mark.parametrize("chance", [1e-6, 1.1])
+def test_queries_that_too_few_rows_serve_over_the_high_bar_are_searched_again(spark, many, monkeypatch, chance):
+    """With a chance over 1 the best row of a sample is the bar, which too few rows reach; the results are the same. Tasks keep less than under the bar of the sample's last."""
+    monkeypatch.setattr(best, "CHANCE", chance)
+    monkeypatch.setattr(best, "BARS_ROWS", 300)
+    rng = np.random.default_rng(10)
+    t = spark.createDataFrame([(n, " ".join(f"w{x}" for x in rng.integers(0, 30, 12)), x.tolist()) for n, x in enumerate(rng.standard_normal((3000, 8)).astype(np.float32))], "id long, text string, v array<float>").repartition(40).localCheckpoint()
+    q = spark.createDataFrame([(n, f"w{n} w{n + 1} w{n} w{n + 9}", x.tolist()) for n, x in enumerate(rng.standard_normal((9, 8)))], "qid long, q string, qv array<double>")
+    plain = lambda rows: sorted((r.qid, r["rank"], r.id, round(r.score, 8)) for r in rows.collect())
+    for lane, top in ((lambda: lexical.bm25(t, "id", "text", q, "qid", "q", 40), 40), (lambda: dense.dense_topk(t, "id", "v", q, "qid", "qv", 8, 40), 40)):
+        many.clear()
+        got = plain(lane())
+        assert len(many) == (2 if chance > 1 else 1)
+        assert chance > 1 or many[0][0] < 6 * 9 * top  # by the sample's last it would be near 10 x
+        with monkeypatch.context() as m:
+            m.setattr(best, "BARS_ROWS", 10_000)  # no bars
+            assert got == plain(lane()) and len(got) == 9 * top
+
+
+def test_high_rank_of_a_sample():
+    from math import comb
+
+    for part, top in ((1 / 9, 50), (1 / 100, 50), (1 / 4, 50)):
+        tail = lambda r: sum(comb(top, n) * part**n * (1 - part) ** (top - n) for n in range(r, top + 1))  # noqa: B023, E731
+        r = best.high_rank(part, top)
+        assert tail(r) < best.CHANCE <= tail(r - 1) and r < top
+    assert best.high_rank(1 / 7, 5) == 5 and best.high_rank(0.9, 50) == 50
+
+
+def test_tokens_of_texts_that_leave_the_jvm_as_they_are(spark):
+    texts = ["", " ", "a", "A_b-C  9!", None, "Đường dây ĐÃ.x", "ﬁn Σίσυφος", "日本 語", "a\x7fb\x00c", "x" * 70, "İstanbul İ", "q éA", "ab", "2½ x²", " Z y"]
+    from skarnwell.functions import text as T
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    want = {r.k: r.t or [] for r in rows.select("k", T.index_tokens(F.col("t")).alias("t")).collect()}
+    sent = rows.select("k", T.token_text(F.col("t")).alias("t")).toArrow().combine_chunks().to_batches()[0]
+    for part in (sent, sent.slice(3, 9), sent.slice(4, 1), sent.slice(0, 0)):
+        assert dict(zip(part.column("k").to_pylist(), lexical._tokens(part.column("t")).to_pylist(), strict=True)) == {k: want[k] for k in part.column("k").to_pylist()}
